@@ -1,0 +1 @@
+"""Intentionally empty: none of the queries this library answers is a stream."""
