@@ -58,7 +58,7 @@ def period_key(day: Column, grain: Grain) -> Column:
         return _iso_week(day, "-")
     if grain.name == "mois":
         return F.date_format(day, grain.month_pattern)
-    return F.date_format(day, "yyyy-MM-dd")
+    return day.cast("string")
 
 
 def key_year(day: Column, grain: Grain) -> Column:

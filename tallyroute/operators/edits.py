@@ -150,7 +150,8 @@ def append_with_next_id(
 
 
 def delete_by_id(current: DataFrame, deletes: DataFrame, group: str) -> DataFrame:
-    return current.join(deletes.select(group, "id"), [group, "id"], "left_anti")
+    gone = deletes.select(group, "id").distinct()
+    return current.join(gone, [group, "id"], "left_anti")
 
 
 def update_values(
@@ -158,9 +159,9 @@ def update_values(
 ) -> DataFrame:
     """The table with `field` overwritten by the last edit of each row, if any."""
     last = edits.groupBy(group, key).agg(
-        F.max_by(F.struct(F.col(field).alias("v")), "seq").alias("_edit")
+        F.max_by(field, "seq").alias("_nouveau"), F.max("seq").alias("_edit")
     )
-    new = F.when(F.col("_edit").isNotNull(), F.col("_edit.v")).otherwise(F.col(field))
+    new = F.when(F.col("_edit").isNotNull(), F.col("_nouveau")).otherwise(F.col(field))
     return (
         current.join(last, [group, key], "left")
         .withColumn(field, new)
@@ -181,22 +182,23 @@ def apply_count_edits(counts: DataFrame, edits: DataFrame, types: DataFrame) ->
     rows = counts.withColumn("_cree", F.lit(-1).cast("bigint")).unionByName(
         fresh.select(*counts.columns, F.col("seq").alias("_cree"))
     )
-    update = F.col("op") == "modification"
+    updated = F.when(F.col("op") == "modification", F.col("seq"))
+    removed = F.when(F.col("op") == "suppression", F.col("seq"))
     last = (
         edits.filter(F.col("op").isin("modification", "suppression"))
         .groupBy("scenario_id", "id")
         .agg(
-            F.max_by(F.when(update, F.struct("seq", "valeur")), F.when(update, F.col("seq")))
-            .alias("_maj"),
-            F.max(F.when(~update, F.col("seq"))).alias("_sup"),
+            F.max_by("valeur", updated).alias("_nouveau"),
+            F.max(updated).alias("_maj"),
+            F.max(removed).alias("_sup"),
         )
     )
     deleted = F.coalesce(F.col("_sup") > F.col("_cree"), F.lit(False))
-    changed = F.coalesce(F.col("_maj.seq") > F.col("_cree"), F.lit(False))
+    changed = F.coalesce(F.col("_maj") > F.col("_cree"), F.lit(False))
     return (
         rows.join(last, ["scenario_id", "id"], "left")
         .filter(~deleted)
-        .withColumn("valeur", F.when(changed, F.col("_maj.valeur")).otherwise(F.col("valeur")))
+        .withColumn("valeur", F.when(changed, F.col("_nouveau")).otherwise(F.col("valeur")))
         .select(*counts.columns)
     )
 
@@ -233,7 +235,8 @@ def detect_changes(
 ) -> DataFrame:
     """Whether each group's ordered list of values differs from the snapshot.
 
-    Rows are compared position by position; their ids only give the order.
+    Rows are compared position by position; their ids only give the order. Both
+    tables are read twice, so a table that is costly to work out is best stored.
     """
 
     def side(df: DataFrame, name: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Site parameters: one record per site, and applying the parameters to traffic.
 
 How parameters act on traffic is this library's own reading of the data model;
-only `param_payload` mirrors an existing job.
+only `param_payload` mirrors an existing job. Parameter tables are broadcast when
+a bounded count finds them small, which spares the traffic a shuffle by site.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroute.operators.ranking import block_of, numbered
+from tallyroute.plans.sizing import small_side
 
 PERIOD_FIELDS = ["id", "dateDebut", "dateFin", "motif"]
 
@@ -89,7 +91,7 @@ def drop_neutralised_days(days: DataFrame, *period_lists: DataFrame) -> DataFram
     off = neutralised_days(periods).select(
         "co_regate", F.col("jour").cast("string").alias("da_comptage")
     )
-    return days.join(off, ["co_regate", "da_comptage"], "left_anti")
+    return days.join(small_side(off), ["co_regate", "da_comptage"], "left_anti")
 
 
 def drop_excluded_products(table: DataFrame, products: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def drop_excluded_products(table: DataFrame, products: DataFrame) -> DataFrame:
         .select(F.col("site_id").alias("co_regate"), F.col("code").alias("co_comptage"))
         .distinct()
     )
-    return table.join(excluded, ["co_regate", "co_comptage"], "left_anti")
+    return table.join(small_side(excluded), ["co_regate", "co_comptage"], "left_anti")
 
 
 def apply_variation(table: DataFrame, variations: DataFrame, measure: str) -> DataFrame:
@@ -111,11 +113,12 @@ def apply_variation(table: DataFrame, variations: DataFrame, measure: str) -> Da
         held.alias("variation"),
     )
     rate = F.coalesce(F.col("variation"), F.lit(0))
-    return table.join(percent, ["co_regate", "co_type_objet"], "left").select(
+    return table.join(small_side(percent), ["co_regate", "co_type_objet"], "left").select(
         *table.columns, (F.col(measure) * (rate + 100) / 100).alias("trafic_varie")
     )
 
 
 def site_bridge(table: DataFrame, sites: DataFrame) -> DataFrame:
     """Traffic with the attributes of its site."""
-    return table.join(sites.withColumnRenamed("codeRegate", "co_regate"), "co_regate")
+    named = sites.withColumnRenamed("codeRegate", "co_regate")
+    return table.join(small_side(named), "co_regate")

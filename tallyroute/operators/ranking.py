@@ -26,7 +26,8 @@ def numbered(
     `bucket` must not decrease along `order`. Rows are only ever sorted within
     one bucket of one group, so a group holding a third of all rows is spread
     over many tasks; what comes before a bucket is summed from bucket counts.
-    `start` holds one row per group and the number (`debut`) to go on from.
+    `df` is read twice, its keys alone the second time, so store it first if it
+    is costly to work out. `start` holds one row per group and the number (`debut`) to go on from.
     """
     # An explicit exchange: a partitioning on `group` alone, left by an earlier
     # step, would also satisfy the window and keep a large group in one task.

@@ -49,46 +49,52 @@ ROUTED_COLUMNS = [
 ]
 
 
-def _segment(periode: str | None, first: Column, last: Column) -> Column:
+def _segment(periode: str, first: Column, last: Column) -> Column:
     return F.struct(
-        F.lit(periode).cast("string").alias("periode"),
-        first.alias("seg_debut"),
-        last.alias("seg_fin"),
+        F.lit(periode).alias("periode"), first.alias("seg_debut"), last.alias("seg_fin")
     )
 
 
-def _explode_segments(df: DataFrame, keep: list[str], segments: Column) -> DataFrame:
-    # An empty or NULL range fails the comparison and disappears here.
-    return df.select(*keep, F.inline(segments)).filter("seg_debut <= seg_fin")
-
-
-def _with_whole_weeks(df: DataFrame, first: Column, last: Column) -> DataFrame:
-    """Adds the Monday and Sunday that bound the whole weeks of [first, last]."""
-    monday = F.date_add(first, F.pmod(7 - F.weekday(first), F.lit(7)))
-    sunday = F.date_sub(last, F.pmod(F.weekday(last) + 1, F.lit(7)))
-    return df.withColumns({"_lundi": monday, "_dimanche": sunday})
+def _whole_weeks(first: str, last: str, prefix: str) -> dict[str, Column]:
+    """Columns with the first Monday and the last Sunday of [first, last]."""
+    a, b = F.col(first), F.col(last)
+    return {
+        f"{prefix}_lundi": F.date_add(a, F.pmod(7 - F.weekday(a), F.lit(7))),
+        f"{prefix}_dimanche": F.date_sub(b, F.pmod(F.weekday(b) + 1, F.lit(7))),
+    }
 
 
-def _week_day_segments(first: Column, last: Column) -> Column:
-    """Head days, whole weeks, tail days of [first, last]; absent ones are empty."""
-    monday, sunday = F.col("_lundi"), F.col("_dimanche")
+def _week_day_segments(first: str, last: str, prefix: str) -> list[Column]:
+    """Head days, whole weeks and tail days of [first, last], possibly empty."""
+    a, b = F.col(first), F.col(last)
+    monday, sunday = F.col(f"{prefix}_lundi"), F.col(f"{prefix}_dimanche")
     has_week = monday < sunday
-    return F.array(
-        _segment("jours", first, F.when(has_week, F.date_sub(monday, 1)).otherwise(last)),
+    return [
+        _segment("jours", a, F.when(has_week, F.date_sub(monday, 1)).otherwise(b)),
         _segment("semaines", F.when(has_week, monday), sunday),
-        _segment("jours", F.when(has_week, F.date_add(sunday, 1)), last),
-    )
+        _segment("jours", F.when(has_week, F.date_add(sunday, 1)), b),
+    ]
+
+
+def _not_empty(segment: Column) -> Column:
+    # A range with a NULL bound is as absent as one that ends before it starts.
+    return F.coalesce(segment["seg_debut"] <= segment["seg_fin"], F.lit(False))
 
 
 def decompose_weeks_days(intervals: DataFrame, first: str, last: str) -> DataFrame:
     """Segments of each interval using whole weeks and days only."""
     keep = [c for c in intervals.columns if c not in (first, last)]
-    a, b = F.col(first), F.col(last)
-    return _explode_segments(_with_whole_weeks(intervals, a, b), keep, _week_day_segments(a, b))
+    weeks = intervals.withColumns(_whole_weeks(first, last, "_s"))
+    segments = F.array(*_week_day_segments(first, last, "_s"))
+    return weeks.select(*keep, F.inline(segments)).filter("seg_debut <= seg_fin")
 
 
-def decompose_auto(requests: DataFrame) -> DataFrame:
-    """Segments of each request using months, weeks and days."""
+def _bounded(requests: DataFrame) -> tuple[DataFrame, Column]:
+    """Requests with their bounds worked out, and the array of their segments.
+
+    The segments are in date order, some of them empty. The array is for use
+    inside a generator: as a column, Spark would filter on its size first.
+    """
     first, last = F.col("dt_debut"), F.col("dt_fin")
     month_start = F.when(F.dayofmonth(first) == 1, first).otherwise(
         F.date_add(F.last_day(first), 1)
@@ -96,29 +102,35 @@ def decompose_auto(requests: DataFrame) -> DataFrame:
     month_end = F.when(last == F.last_day(last), last).otherwise(
         F.date_sub(month_first(last), 1)
     )
-    keep = ["request_id", "co_regate"]
-    months = requests.select(
-        *keep, first, last, month_start.alias("_mois_debut"), month_end.alias("_mois_fin")
+    # Each step is its own projection, so that no date is worked out twice.
+    months = requests.select("request_id", "co_regate", first, last).withColumns(
+        {"_mois_debut": month_start, "_mois_fin": month_end}
     )
     start, end = F.col("_mois_debut"), F.col("_mois_fin")
     has_month = start <= end
-    thirds = _explode_segments(
-        months,
-        keep,
-        F.array(
-            _segment(None, first, F.when(has_month, F.date_sub(start, 1)).otherwise(last)),
-            _segment("mois", F.when(has_month, start), end),
-            _segment(None, F.when(has_month, F.date_add(end, 1)), last),
-        ),
+    sides = months.withColumns(
+        {
+            "_avant": F.when(has_month, F.date_sub(start, 1)).otherwise(last),
+            "_apres": F.when(has_month, F.date_add(end, 1)),
+            "_mois_debut": F.when(has_month, start),
+        }
+    )
+    weeks = sides.withColumns(
+        {**_whole_weeks("dt_debut", "_avant", "_g"), **_whole_weeks("_apres", "dt_fin", "_d")}
     )
-    s, e = F.col("seg_debut"), F.col("seg_fin")
-    return _explode_segments(
-        _with_whole_weeks(thirds, s, e),
-        keep,
-        F.when(F.col("periode") == "mois", F.array(_segment("mois", s, e))).otherwise(
-            _week_day_segments(s, e)
-        ),
+    segments = F.array(
+        *_week_day_segments("dt_debut", "_avant", "_g"),
+        _segment("mois", start, end),
+        *_week_day_segments("_apres", "dt_fin", "_d"),
     )
+    return weeks, segments
+
+
+def decompose_auto(requests: DataFrame) -> DataFrame:
+    """Segments of each request using months, weeks and days."""
+    bounded, segments = _bounded(requests)
+    cut = bounded.select("request_id", "co_regate", F.inline(segments))
+    return cut.filter("seg_debut <= seg_fin")
 
 
 def build_segments(requests: DataFrame) -> DataFrame:
@@ -149,17 +161,29 @@ def with_period_keys(segments: DataFrame, grains: dict[str, Grain] = GRAINS) ->
     )
 
 
-def segments_by_grain(segments: DataFrame, grains: dict[str, Grain] = GRAINS) -> DataFrame:
-    """One row per request and grain: the key ranges to read, in order.
+def segments_by_grain(requests: DataFrame, grains: dict[str, Grain] = GRAINS) -> DataFrame:
+    """One row per request and grain it reads: the key ranges, in order.
 
-    At most four ranges share a grain, so the array is bounded.
+    The segments of a request never leave its row, so nothing is shuffled.
     """
-    bounds = F.struct("cle_debut", "cle_fin")
-    return (
-        with_period_keys(segments, grains)
-        .groupBy("request_id", "co_regate", "periode")
-        .agg(F.sort_array(F.collect_list(bounds)).alias("plages"))
+
+    bounded, segments = _bounded(requests)
+
+    def ranges(grain: Grain) -> Column:
+        mine = F.filter(segments, lambda s: (s["periode"] == grain.name) & _not_empty(s))
+        return F.transform(
+            mine,
+            lambda s: F.struct(
+                period_key(s["seg_debut"], grain).alias("cle_debut"),
+                period_key(s["seg_fin"], grain).alias("cle_fin"),
+            ),
+        )
+
+    rows = F.array(
+        *[F.struct(F.lit(g.name).alias("periode"), ranges(g).alias("plages")) for g in grains.values()]
     )
+    read = bounded.select("request_id", "co_regate", F.inline(rows))
+    return read.filter(F.size("plages") > 0)
 
 
 def routing_preview(

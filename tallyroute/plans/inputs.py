@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyroute.constants import COUNT_CODES, GRAINS
-from tallyroute.operators.edits import lookup_type, type_table
+from tallyroute.operators.edits import apply_count_edits, lookup_type, type_table
 from tallyroute.sources.marts import traffic_scan, write_marts
 from tallyroute.sources.shared import derived_table
 
@@ -171,6 +171,17 @@ def count_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts after the edit log, stored once as the result of its own job."""
+
+    def write(path: str) -> None:
+        before, log = counts(spark, sf_dir), count_edits(spark, sf_dir)
+        after = apply_count_edits(before, log, type_table(spark))
+        after.write.mode("overwrite").parquet(path)
+
+    return spark.read.parquet(derived_table(spark, sf_dir, "comptages_modifies", write))
+
+
 def new_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenario names typed for the sites, some of them blank."""
     nom = F.when(_k() % 5 == 0, "   ").otherwise(

@@ -166,7 +166,7 @@ def decompose_auto(spark, sf):
 
 @query
 def segments_by_grain(spark, sf):
-    grouped = routing.segments_by_grain(_segments(spark, sf))
+    grouped = routing.segments_by_grain(inputs.requests(spark, sf))
     return grouped.withColumn("plages", _text("plages", "cle_debut", "cle_fin"))
 
 
@@ -401,20 +401,16 @@ def update_values(spark, sf):
     return edits.update_values(inputs.counts(spark, sf), changed, "scenario_id", "valeur")
 
 
-def _edited_counts(spark, sf):
+@query
+def apply_count_edits(spark, sf):
     return edits.apply_count_edits(
         inputs.counts(spark, sf), inputs.count_edits(spark, sf), edits.type_table(spark)
     )
 
 
-@query
-def apply_count_edits(spark, sf):
-    return _edited_counts(spark, sf)
-
-
 @query
 def detect_changes(spark, sf):
-    return edits.detect_changes(inputs.counts(spark, sf), _edited_counts(spark, sf))
+    return edits.detect_changes(inputs.counts(spark, sf), inputs.edited_counts(spark, sf))
 
 
 @query

@@ -15,12 +15,23 @@ from tallyroute.plans.oracle import ORACLE_SQL, TABLES  # noqa: E402
 from tallyroute.plans.queries import QUERIES  # noqa: E402
 
 
+DUCKDB_TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def oracle_rows(sf_dir: str, sql: str):
     con = duckdb.connect()
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     cursor = con.execute(sql)
-    return [d[0] for d in cursor.description], cursor.fetchall()
+    return {d[0]: str(d[1]) for d in cursor.description}, cursor.fetchall()
 
 
 def canonical(columns, rows):
@@ -37,10 +48,11 @@ def canonical(columns, rows):
 def differences(spark, sf_dir: str, name: str) -> str | None:
     df = QUERIES[name](spark, sf_dir)
     rows = df.collect()
-    columns, expected = oracle_rows(sf_dir, ORACLE_SQL[name])
-    if sorted(df.columns) != sorted(columns):
-        return f"columns {sorted(df.columns)} != {sorted(columns)}"
-    ours, theirs = canonical(df.columns, rows), canonical(columns, expected)
+    types, expected = oracle_rows(sf_dir, ORACLE_SQL[name])
+    schema = {f.name: DUCKDB_TYPES[f.dataType.simpleString()] for f in df.schema.fields}
+    if schema != types:
+        return f"schema {sorted(schema.items() ^ types.items())}"
+    ours, theirs = canonical(df.columns, rows), canonical(list(types), expected)
     if len(ours) != len(theirs):
         return f"{len(ours)} rows != {len(theirs)}"
     for a, b in zip(ours, theirs):
