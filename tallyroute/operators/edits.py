@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroute.constants import DEFAULT_PRODUCTS, DEFAULT_TYPES, DRAFT_STATUS
-from tallyroute.operators.ranking import block_of, numbered
+from tallyroute.operators.ranking import numbered
 
 TYPE_SCHEMA = "type_id int, code string, libelle string"
 PRODUCT_FIELDS = ["id", "code", "libelle", "exclu"]
@@ -134,7 +134,7 @@ def next_ids(counter: DataFrame, inserts: DataFrame, group: str, seq: str = "seq
     a freed number is given again, the one loaded before them where it is not.
     """
     highest = counter.groupBy(group).agg(F.greatest(F.max("id"), F.lit(0)).alias("debut"))
-    return numbered(inserts, [group], [seq], block_of(seq), "id", highest)
+    return numbered(inserts, [group], seq, "id", highest)
 
 
 def append_with_next_id(
@@ -240,7 +240,7 @@ def detect_changes(
     """
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        rows = numbered(df.select(group, "id", *fields), [group], ["id"], block_of("id"), "rang")
+        rows = numbered(df.select(group, "id", *fields), [group], "id", "rang")
         return rows.select(group, "rang", F.struct(*fields).alias(name))
 
     pairs = side(snapshot, "avant").join(side(current, "apres"), [group, "rang"], "full")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyroute.operators.ranking import block_of, numbered
+from tallyroute.operators.ranking import numbered
 from tallyroute.plans.sizing import small_side
 
 PERIOD_FIELDS = ["id", "dateDebut", "dateFin", "motif"]
@@ -40,21 +40,21 @@ def param_payload(
     sites with longer lists, which get further records instead of one that
     outgrows a task.
     """
-    tagged = []
-    for name, fields in PAYLOAD_LISTS.items():
-        ranked = numbered(lists[name], ["site_id"], ["ordre"], block_of("ordre"), "rang")
-        part = F.floor((F.col("rang") - 1) / entries).alias("partie")
-        tagged.append(ranked.select("site_id", part, F.struct("rang", *fields).alias(name)))
+    tagged = [
+        lists[name].select(
+            "site_id", F.lit(name).alias("liste"), "ordre", F.struct(*fields).alias(name)
+        )
+        for name, fields in PAYLOAD_LISTS.items()
+    ]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    ranked = numbered(rows, ["site_id", "liste"], "ordre", "rang")
 
     def collected(name: str) -> Column:
-        fields = PAYLOAD_LISTS[name]
-        ordered = F.sort_array(F.collect_list(name))
-        return F.transform(ordered, lambda e: F.struct(*[e[f].alias(f) for f in fields])).alias(
-            name
-        )
+        mine = F.when(F.col("liste") == name, F.struct("rang", name))
+        return F.transform(F.sort_array(F.collect_list(mine)), lambda e: e[name]).alias(name)
 
-    records = rows.groupBy("site_id", "partie").agg(*[collected(n) for n in PAYLOAD_LISTS])
+    part = F.floor((F.col("rang") - 1) / entries).alias("partie")
+    records = ranked.groupBy("site_id", part).agg(*[collected(n) for n in PAYLOAD_LISTS])
     site = F.struct(*[c for c in sites.columns if c != "site_id"]).alias("site")
     return sites.join(records, "site_id", "left").select(
         "site_id",

@@ -2,48 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 65_536
+from tallyroute.plans.sizing import MAX_BROADCAST_ROWS, fits
 
-
-def block_of(column: str, rows: int = BUCKET_ROWS) -> Column:
-    """Bucket of an integer that is unique in its group: at most `rows` rows each."""
-    return F.floor(F.col(column) / rows)
+# Rows of one group that one task may sort.
+GROUP_ROWS = 1_000_000
 
 
 def numbered(
     df: DataFrame,
     group: list[str],
-    order: list[str],
-    bucket: Column,
+    order: str,
     name: str,
     start: DataFrame | None = None,
+    max_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Number the rows of each group 1, 2, … in `order`, as the column `name`.
 
-    `bucket` must not decrease along `order`. Rows are only ever sorted within
-    one bucket of one group, so a group holding a third of all rows is spread
-    over many tasks; what comes before a bucket is summed from bucket counts.
-    `df` is read twice, its keys alone the second time, so store it first if it
-    is costly to work out. `start` holds one row per group and the number (`debut`) to go on from.
+    `order` is an integer unique in its group. `start` holds one row per group
+    and the number (`debut`) to go on from.
+
+    Groups are counted first. Where none has more than `max_rows` rows, this is
+    a window over the group. Larger groups are cut into blocks of `order`, each
+    numbered by itself, and what comes before a block is added from the block
+    counts: a group that holds a third of all rows is spread over many tasks.
     """
-    # An explicit exchange: a partitioning on `group` alone, left by an earlier
-    # step, would also satisfy the window and keep a large group in one task.
-    rows = df.withColumn("_lot", bucket).repartition(*group, "_lot")
-    counts = df.groupBy(*group, bucket.alias("_lot")).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*group).orderBy("_lot").rowsBetween(
+    large = (
+        df.groupBy(*group)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > max_rows)
+        .select(*group, F.lit(True).alias("_grand"))
+    )
+    if fits(large, 0):
+        return _in_one_window(df, group, order, name, start)
+    # There are at most as many large groups as blocks of `max_rows` rows.
+    few = fits(large, MAX_BROADCAST_ROWS)
+    marked = df.join(F.broadcast(large) if few else large, group, "left")
+    return _in_blocks(marked, df.columns, group, order, name, start, max_rows)
+
+
+def _in_one_window(df, group, order, name, start) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(order)).cast("bigint")
+    if start is None:
+        return df.select("*", rank.alias(name))
+    columns = [F.col(c) for c in df.columns]
+    begun = df.join(start, group, "left")
+    return begun.select(*columns, (F.coalesce("debut", F.lit(0)) + rank).alias(name))
+
+
+def _in_blocks(marked, columns, group, order, name, start, max_rows) -> DataFrame:
+    block = F.when(F.col("_grand"), F.floor(F.col(order) / max_rows)).otherwise(0)
+    keyed = marked.withColumn("_bloc", block)
+    earlier = Window.partitionBy(*group).orderBy("_bloc").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    base = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    counts = keyed.filter("_grand").groupBy(*group, "_bloc").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(*group, "_bloc", before.alias("_avant"))
     if start is not None:
-        counts = counts.join(start, group, "left")
-        base = base + F.coalesce(F.col("debut"), F.lit(0))
-    offsets = counts.select(*group, "_lot", base.alias("_avant"))
-    inside = Window.partitionBy(*group, "_lot").orderBy(*order)
+        whole = start.join(counts.select(*group).distinct(), group, "left_anti")
+        begun = F.col("_avant") + F.coalesce(F.col("debut"), F.lit(0))
+        offsets = (
+            offsets.join(start, group, "left")
+            .select(*group, "_bloc", begun.alias("_avant"))
+            .unionByName(
+                whole.select(*group, F.lit(0).alias("_bloc"), F.col("debut").alias("_avant"))
+            )
+        )
+    # An explicit exchange: a partitioning on `group` alone, left by an earlier
+    # step, would also satisfy the window and keep a large group in one task.
+    spread = keyed.repartition(*group, "_bloc")
+    inside = Window.partitionBy(*group, "_bloc").orderBy(order)
     return (
-        rows.withColumn("_rang", F.row_number().over(inside))
-        .join(offsets, [*group, "_lot"])
-        .select(*df.columns, (F.col("_avant") + F.col("_rang")).alias(name))
+        spread.withColumn("_rang", F.row_number().over(inside))
+        .join(offsets.filter("_avant > 0"), [*group, "_bloc"], "left")
+        .select(*columns, (F.coalesce("_avant", F.lit(0)) + F.col("_rang")).alias(name))
     )

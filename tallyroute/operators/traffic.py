@@ -214,10 +214,10 @@ def table_sample(
     limit: int = SAMPLE_DEFAULT,
     order: Sequence[str] | None = None,
 ) -> DataFrame:
-    """First rows of a named table, by the given columns or else by all of them."""
+    """First rows of a named table in the given order, or any rows without one."""
     if not SAMPLE_MIN <= limit <= SAMPLE_MAX:
         raise ValueError(f"limit must lie between {SAMPLE_MIN} and {SAMPLE_MAX}")
     if not spark.catalog.tableExists(table):
         raise LookupError(f"no table named {table!r}")
     rows = spark.table(table)
-    return rows.orderBy(*(order or rows.columns)).limit(limit)
+    return (rows.orderBy(*order) if order else rows).limit(limit)

@@ -46,7 +46,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _typed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per supplier as text, in the shapes users type, right and wrong.
 
     The shape follows the supplier's key: dashed, compact, no site, no end, an
@@ -93,6 +93,15 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests as typed, stored once."""
+    typed = _typed_requests(spark, sf_dir)
+    path = derived_table(
+        spark, sf_dir, "demandes", lambda target: typed.write.mode("overwrite").parquet(target)
+    )
+    return spark.read.parquet(path)
+
+
 # --- scenario tables ----------------------------------------------------------
 
 

@@ -655,7 +655,7 @@ cles AS (SELECT DISTINCT request_id, co_regate, periode, {_key('d')} AS cle FROM
         select=f"SELECT request_id, {OUT} FROM route QUALIFY row_number() OVER "
         f"(PARTITION BY request_id, periode ORDER BY {_ORDER}) <= 5",
     ),
-    "table_sample": "SELECT * FROM orders ORDER BY o_orderkey, o_custkey LIMIT 25",
+    "table_sample": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 25",
     "paginate_result": _with(
         MARTS,
         UNITED,

@@ -334,7 +334,7 @@ def limit_per_grain(spark, sf):
 @query
 def table_sample(spark, sf):
     inputs.table(spark, sf, "orders").createOrReplaceTempView("sampled_orders")
-    return traffic.table_sample(spark, "sampled_orders", 25)
+    return traffic.table_sample(spark, "sampled_orders", 25, order=["o_orderkey"])
 
 
 @query
