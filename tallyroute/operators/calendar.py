@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def open_days_by_week(requests: DataFrame) -> DataFrame:
     )
 
 
-def open_days_total(requests: DataFrame) -> DataFrame:
+def open_days_total(requests: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Open days and ISO weeks of each interval, in closed form."""
     first, last = F.col("dt_debut"), F.col("dt_fin")
     first_monday, last_monday = F.trunc(first, "week"), F.trunc(last, "week")
@@ -41,6 +43,7 @@ def open_days_total(requests: DataFrame) -> DataFrame:
     sundays = week_span + (F.weekday(last) == 6).cast("int")
     return requests.select(
         "request_id",
+        *keep,
         (F.datediff(last, first) + 1 - sundays).alias("total_jours_ouverts"),
         (week_span + 1).alias("nbr_semaines"),
     )

@@ -55,12 +55,18 @@ def param_payload(
 
     part = F.floor((F.col("rang") - 1) / entries).alias("partie")
     records = ranked.groupBy("site_id", part).agg(*[collected(n) for n in PAYLOAD_LISTS])
+    # An inner join may split a site with many records; an outer one could not.
+    filled = sites.join(records, "site_id")
+    empty = sites.join(rows.select("site_id").distinct(), "site_id", "left_anti")
     site = F.struct(*[c for c in sites.columns if c != "site_id"]).alias("site")
-    return sites.join(records, "site_id", "left").select(
-        "site_id",
-        F.coalesce("partie", F.lit(0)).alias("partie"),
-        site,
-        *[F.coalesce(n, F.array()).alias(n) for n in PAYLOAD_LISTS],
+    return (
+        filled.unionByName(empty, allowMissingColumns=True)
+        .select(
+            "site_id",
+            F.coalesce("partie", F.lit(0)).alias("partie"),
+            site,
+            *[F.coalesce(n, F.array()).alias(n) for n in PAYLOAD_LISTS],
+        )
     )
 
 

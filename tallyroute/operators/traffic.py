@@ -138,7 +138,9 @@ def traffic_group_sum(
     )
 
 
-def _row_counts(segments, marts, grains, filtered, keys_per_segment, broadcast) -> DataFrame:
+def _row_counts(
+    segments, marts, grains, filtered, keys_per_segment, broadcast, limit=None
+) -> DataFrame:
     counts = _per_key(
         segments,
         marts,
@@ -149,7 +151,12 @@ def _row_counts(segments, marts, grains, filtered, keys_per_segment, broadcast)
         keys_per_segment,
         broadcast,
     )
-    return counts.groupBy("request_id").agg(F.sum("lignes").alias("lignes"))
+    total = F.sum("lignes").alias("lignes")
+    if limit is not None:
+        counts = counts.groupBy("request_id", "periode").agg(
+            F.least(F.sum("lignes"), F.lit(limit)).alias("lignes")
+        )
+    return counts.groupBy("request_id").agg(total)
 
 
 def _complete(requests: DataFrame, counts: DataFrame, name: str) -> DataFrame:
@@ -177,9 +184,13 @@ def result_count(
     grains: dict[str, Grain] = GRAINS,
     keys_per_segment: int = KEYS_PER_AUTO_SEGMENT,
     broadcast: bool | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Rows `route_traffic` returns for each request; 0 when there are none."""
-    counts = _row_counts(segments, marts, grains, False, keys_per_segment, broadcast)
+    """Rows `route_traffic` returns for each request; 0 when there are none.
+
+    With `limit`, the rows left when each grain returns at most that many.
+    """
+    counts = _row_counts(segments, marts, grains, False, keys_per_segment, broadcast, limit)
     return _complete(requests, counts, "count")
 
 

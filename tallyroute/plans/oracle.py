@@ -224,6 +224,13 @@ JUDGED_CALENDAR = _judged(
     _parsed("date_debut", False), _parsed("date_fin", False), ["date_debut", "date_fin"]
 )
 
+_TYPED_DAYS = """
+journees AS (
+  SELECT request_id, co_regate, mode, dt_debut, dt_fin,
+         CAST(unnest(generate_series(dt_debut, dt_fin, INTERVAL 1 DAY)) AS DATE) AS d
+  FROM jugees WHERE motif IS NULL
+)"""
+
 COUNTS = """
 sommes AS (
   SELECT l_orderkey AS scenario_id, CAST(l_partkey % 6 + 1 AS INTEGER) AS type_id,
@@ -522,12 +529,7 @@ groupes AS (
         UNITED,
         RAW,
         JUDGED_MODE,
-        """
-journees AS (
-  SELECT request_id, co_regate, mode, dt_debut, dt_fin,
-         CAST(unnest(generate_series(dt_debut, dt_fin, INTERVAL 1 DAY)) AS DATE) AS d
-  FROM jugees WHERE motif IS NULL
-)""",
+        _TYPED_DAYS,
         LABELS.replace("request_id, co_regate, d,", "request_id, co_regate, mode, d,"),
         f"""
 modes AS (
@@ -626,6 +628,33 @@ cles AS (SELECT DISTINCT request_id, co_regate, periode, {_key('d')} AS cle FROM
         "CAST(count(DISTINCT strftime(d, '%G-%V')) AS INTEGER) AS nbr_semaines "
         "FROM journees GROUP BY request_id",
     ),
+    "traffic_headers": _with(
+        MARTS,
+        UNITED,
+        RAW,
+        JUDGED,
+        _TYPED_DAYS,
+        LABELS,
+        KEYS,
+        ROUTED,
+        """
+parGrain AS (
+  SELECT request_id, periode, least(count(*), 5) AS n FROM route GROUP BY 1, 2
+)""",
+        select="SELECT j.request_id, j.co_regate, CAST(dt_debut AS VARCHAR) AS date_debut, "
+        "CAST(dt_fin AS VARCHAR) AS date_fin, CAST(coalesce(sum(n), 0) AS BIGINT) AS \"count\" "
+        "FROM jugees j LEFT JOIN parGrain g ON g.request_id = j.request_id "
+        "WHERE motif IS NULL GROUP BY ALL",
+    ),
+    "calendar_headers": _with(
+        RAW,
+        JUDGED_CALENDAR,
+        _TYPED_DAYS,
+        select="SELECT s.request_id, s.date_debut, s.date_fin, "
+        "CAST(count(*) FILTER (isodow(d) <> 7) AS INTEGER) AS total_jours_ouverts, "
+        "CAST(count(DISTINCT strftime(d, '%G-%V')) AS INTEGER) AS nbr_semaines "
+        "FROM journees j JOIN saisies s ON s.request_id = j.request_id GROUP BY ALL",
+    ),
     "dataset_row_counts": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS table_rows FROM {t}" for t in TABLES
     ),

@@ -12,6 +12,7 @@ from tallyroute.functions.dates import period_key
 from tallyroute.operators import calendar, edits, params, periods, profile, requests, routing
 from tallyroute.operators import traffic
 from tallyroute.plans import inputs
+from tallyroute.plans.answers import calendar_answer, traffic_answer
 from tallyroute.sources import json_assets
 from tallyroute.sources.marts import public_columns
 
@@ -292,6 +293,17 @@ def open_days_total(spark, sf):
     return calendar.open_days_total(inputs.requests(spark, sf))
 
 
+@query
+def traffic_headers(spark, sf):
+    """Headers of the answers to typed requests, five rows per grain at most."""
+    return traffic_answer(inputs.raw_requests(spark, sf), inputs.marts(spark, sf), 5).headers
+
+
+@query
+def calendar_headers(spark, sf):
+    return calendar_answer(inputs.raw_requests(spark, sf)).headers
+
+
 def _tables(spark, sf):
     return {name: inputs.table(spark, sf, name) for name in TABLES}
 

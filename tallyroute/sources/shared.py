@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
 _local_folders: dict[str, str] = {}
 _written: dict[tuple[str, str, str], str] = {}
+# Writing one table may first write another it is derived from.
+_lock = threading.RLock()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,9 +34,10 @@ def derived_table(
     """Path of the table `name` derived from `source`, written on first use."""
     app = spark.sparkContext.applicationId
     key = (app, source, name)
-    if key not in _written:
-        digest = hashlib.sha1(source.encode()).hexdigest()[:12]
-        path = f"{shared_folder(spark)}/tallyroute-{app}/{digest}/{name}"
-        write(path)
-        _written[key] = path
-    return _written[key]
+    with _lock:
+        if key not in _written:
+            digest = hashlib.sha1(source.encode()).hexdigest()[:12]
+            path = f"{shared_folder(spark)}/tallyroute-{app}/{digest}/{name}"
+            write(path)
+            _written[key] = path
+        return _written[key]
