@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyroute.constants import GRAINS
 from tallyroute.operators import routing
+from tallyroute.operators.calendar import open_days_by_week
 from tallyroute.plans import inputs
 from tallyroute.plans.queries import QUERIES
 from tallyroute.plans.session import local_session
@@ -96,12 +97,25 @@ def range_join(spark) -> DataFrame:
     return routing.concat_grains(parts)
 
 
+def order_calendar(spark) -> DataFrame:
+    """Open days by week of one interval of up to 730 days per order."""
+    first = F.col("o_orderdate").cast("date")
+    asked = inputs.table(spark, SF_DIR, "orders").select(
+        F.col("o_orderkey").alias("request_id"),
+        first.alias("dt_debut"),
+        F.date_add(first, F.pmod("o_orderkey", F.lit(731)).cast("int")).alias("dt_fin"),
+    )
+    return open_days_by_week(asked)
+
+
 def main() -> None:
     spark = local_session(CPUS)
     times = {"marts": timed(lambda: inputs.marts(spark, SF_DIR), 1)}
     inputs.edited_counts(spark, SF_DIR)
     for name in HEADLINE:
         times[name] = timed(lambda: consume(QUERIES[name](spark, SF_DIR)))
+    times["open_days_of_orders"] = timed(lambda: consume(order_calendar(spark)))
+    calendars = inputs.table(spark, SF_DIR, "orders").count()
     times["route_traffic_day_only"] = timed(lambda: consume(day_only(spark)))
     times["route_traffic_range_join"] = timed(lambda: consume(range_join(spark)))
     spark.stop()
@@ -114,6 +128,9 @@ def main() -> None:
                 "queries": times,
                 "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
                 "cpus": CPUS,
+                "calendar_ms_per_request": round(
+                    1000 * times["open_days_of_orders"] / calendars, 5
+                ),
             }
         )
     )

@@ -23,20 +23,22 @@ def dataset_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(counts).orderBy("table_name")
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _profile(name: str, df: DataFrame) -> DataFrame:
-    nulls = df.agg(
-        *[F.count_if(F.col(f"`{c}`").isNull()).alias(str(i)) for i, c in enumerate(df.columns)]
+    """Null counts of all columns in one pass, then one row per column."""
+    fields = list(enumerate(df.schema.fields, 1))
+    nulls = df.selectExpr(
+        *[f"count_if(`{f.name.replace('`', '``')}` IS NULL) AS `{i}`" for i, f in fields]
     )
     rows = [
-        F.struct(
-            F.lit(i + 1).alias("ordinal_position"),
-            F.lit(field.name).alias("column_name"),
-            F.lit(field.dataType.simpleString()).alias("column_type"),
-            F.col(f"`{i}`").alias("null_count"),
-        )
-        for i, field in enumerate(df.schema.fields)
+        f"named_struct('ordinal_position', {i}, 'column_name', {_quoted(f.name)}, "
+        f"'column_type', {_quoted(f.dataType.simpleString())}, 'null_count', `{i}`)"
+        for i, f in fields
     ]
-    return nulls.select(F.lit(name).alias("table_name"), F.inline(F.array(*rows)))
+    return nulls.selectExpr(f"{_quoted(name)} AS table_name", f"inline(array({', '.join(rows)}))")
 
 
 def column_profile(tables: dict[str, DataFrame]) -> DataFrame:

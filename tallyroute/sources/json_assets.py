@@ -55,7 +55,8 @@ def keyed_file_scan(
             raise
         empty = StructType.fromDDL(f"{schema}, {key} string")
         return spark.createDataFrame([], empty)
-    return records.select("*", name.alias(key))
+    keyed = records.select("*", name.alias(key))
+    return keyed if value is None else keyed.filter(F.col(key) == value)
 
 
 def nested_flatten(records: DataFrame, column: str, prefix: str) -> DataFrame:

@@ -45,8 +45,7 @@ def canonical(columns, rows):
     return sorted(tuple(value(r[i]) for i in order) for r in rows)
 
 
-def differences(spark, sf_dir: str, name: str) -> str | None:
-    df = QUERIES[name](spark, sf_dir)
+def differences(sf_dir: str, name: str, df) -> str | None:
     rows = df.collect()
     types, expected = oracle_rows(sf_dir, ORACLE_SQL[name])
     schema = {f.name: DUCKDB_TYPES[f.dataType.simpleString()] for f in df.schema.fields}
@@ -70,7 +69,7 @@ if __name__ == "__main__":
     for query in wanted:
         began = time.time()
         try:
-            found = differences(session, folder, query)
+            found = differences(folder, query, QUERIES[query](session, folder))
         except Exception as error:  # report and go on with the next query
             found = f"{type(error).__name__}: {str(error)[:1500]}"
         failed += found is not None

@@ -10,7 +10,11 @@ from tallyroute.plans.queries import QUERIES
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, sf_dir, name):
-    assert differences(spark, sf_dir, name) is None
+    df = QUERIES[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "InPandas"):
+        assert operator not in plan
+    assert differences(sf_dir, name, df) is None
 
 
 def test_every_query_has_sql():
