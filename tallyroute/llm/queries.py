@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroute.llm import balance, bpe
+from tallyroute.llm import balance, bktree, bpe
 from tallyroute.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bktree.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,7 @@ def op10_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_bktree": op4_bktree,
     "op9_bpe": op9_bpe,
     "op10_balance": op10_balance,
 }
