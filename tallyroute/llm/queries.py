@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroute.llm import balance, bktree, bpe
+from tallyroute.llm import balance, bktree, bpe, pii, secret_scan
 from tallyroute.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op4_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bktree.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,8 @@ def op10_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op4_bktree": op4_bktree,
+    "op7_pii": op7_pii,
+    "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
     "op10_balance": op10_balance,
 }
