@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from tallyroute.llm.common import fraction_for, in_sample
 
 SAMPLE = 6_000
-WINDOWS = 1_500
+WINDOWS = 900
 BUCKETS = 1 << 12
 REACH = 3
-EPOCHS = 60
+EPOCHS = 40
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + 2 * len(KINDS)
 # Forms of the base spans.

@@ -6,16 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroute.llm import balance, bktree, bpe, pii, secret_scan
+from tallyroute.llm import balance, bktree, bpe, decision_list, pii, pu_quality, secret_scan, url_trees
 from tallyroute.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trees.judged(table(spark, sf_dir, "pages"))
+
+
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.quality_rules(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 def op4_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bktree.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.quality_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -33,7 +49,10 @@ def op10_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_trees": op1_url_trees,
+    "op2_decision_list": op2_decision_list,
     "op4_bktree": op4_bktree,
+    "op5_pu_quality": op5_pu_quality,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,

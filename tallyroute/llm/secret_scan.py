@@ -48,6 +48,8 @@ ISSUED = re.compile(
     r"(?:gh[pousr]_|github_pat_|sk_live_|rk_live_|xox[abprs]-|glpat-)[A-Za-z0-9_-]{16,}"
     r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 )
+ISSUED_MARKS = ("gh", "_live_", "xox", "glpat-", "eyJ")
+DIGIT = re.compile("[0-9]")
 PEM_BEGIN = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
 PEM_END = "PRIVATE KEY-----"
 KINDS = ("assign", "access", "hex", "named", "issued", "pem")
@@ -86,13 +88,14 @@ def entropy(value: str) -> float:
 def further_spans(text: str, base: list[Span]) -> list[Span]:
     """Candidates of the other forms that touch no base span, ordered by start."""
     found: list[Span] = []
-    for m in NAMED.finditer(text):
+    for m in NAMED.finditer(text) if DIGIT.search(text) else ():
         value = m.group(2)
         if re.search("[0-9]", value) and entropy(value) >= MIN_ENTROPY:
             found.append((3, *m.span(), *m.span(2)))
-    found += [(4, *m.span(), *m.span()) for m in ISSUED.finditer(text)]
+    if any(mark in text for mark in ISSUED_MARKS):
+        found += [(4, *m.span(), *m.span()) for m in ISSUED.finditer(text)]
     at = 0
-    while m := PEM_BEGIN.search(text, at):
+    while PEM_END in text and (m := PEM_BEGIN.search(text, at)):
         end = text.find(PEM_END, m.end())
         at = m.end() if end < 0 else end + len(PEM_END)
         if end >= 0:
