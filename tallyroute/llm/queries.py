@@ -5,8 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from tallyroute.llm import balance, bktree, bpe, decision_list, pii, pu_quality, secret_scan, url_trees
+from pyspark.sql import functions as F
+
+from tallyroute.llm import (
+    balance,
+    bktree,
+    bpe,
+    curves,
+    decision_list,
+    pii,
+    pu_quality,
+    secret_scan,
+    url_trees,
+)
 from tallyroute.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +33,11 @@ def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every_fiftieth = F.col("vec_id") % 50 == 0
+    return curves.nearest(table(spark, sf_dir, "embeddings"), every_fiftieth)
+
+
 def op4_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bktree.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +67,7 @@ def op10_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_url_trees": op1_url_trees,
     "op2_decision_list": op2_decision_list,
+    "op3_curves": op3_curves,
     "op4_bktree": op4_bktree,
     "op5_pu_quality": op5_pu_quality,
     "op7_pii": op7_pii,
