@@ -16,6 +16,7 @@ from tallyroute.llm import (
     pii,
     pu_quality,
     secret_scan,
+    toxicity,
     url_trees,
 )
 from tallyroute.llm.common import table
@@ -48,6 +49,12 @@ def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -70,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op3_curves": op3_curves,
     "op4_bktree": op4_bktree,
     "op5_pu_quality": op5_pu_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
