@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyroute.llm.common import WORD, fresh, stored
+from tallyroute.llm.common import WORD, fresh, stored, with_row
 
 # Fixed values of the mix: weights by the order of the sources, copies of one document at most.
 WEIGHTS = (5, 2, 1)
@@ -230,7 +230,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; columns as given."""
     row = fresh(docs, "_row")
-    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "to-mix")
+    keyed = with_row(docs, row)
     number = fresh(docs, "_copies")
     taken = copies(keyed, row).filter("copies > 0").select(row, F.col("copies").alias(number))
     each = F.explode(F.sequence(F.lit(1), F.col(number).cast("int")))

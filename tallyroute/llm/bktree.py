@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyroute.llm.common import fresh, stored
+from tallyroute.llm.common import fresh, stored, with_row
 
 # Fixed values of the contract.
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -278,10 +278,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component: that with the smallest id; columns as given."""
-    row, fp = fresh(docs, "_row"), fresh(docs, "_print")
-    keyed = docs.withColumn(row, F.monotonically_increasing_id())
-    keyed = stored(keyed.withColumn(fp, fingerprint(keyed["text"])), "fingerprinted")
-    ids = keyed.select(F.col(row).alias("row"), F.col(fp).alias("fp"), keyed["doc_id"].alias("doc_id"))
+    row = fresh(docs, "_row")
+    keyed = with_row(docs, row)
+    ids = stored(
+        keyed.select(F.col(row).alias("row"), "doc_id", fingerprint(F.col("text")).alias("fp")),
+        "fingerprints",
+    )
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     kept = (
         ids.join(classes(ids, "doc_id", "fp"), "fp")

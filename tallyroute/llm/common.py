@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_row(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a column that names each row alike whenever the plan runs.
+
+    Read straight from files, a row is its file and its place there, so nothing is copied; any
+    other table is numbered and stored first.
+    """
+    if "_metadata" not in {c.lower() for c in docs.columns}:
+        file = F.xxhash64("_metadata.file_path").alias("file")
+        try:
+            return docs.withColumn(name, F.struct(file, F.col("_metadata.row_index").alias("at")))
+        except AnalysisException:
+            pass  # not a file scan
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def crc_class(doc_id: str | Column, modulus: int) -> Column:
     """Remainder of crc32 of the id as text; null for a null id."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -10,9 +10,9 @@ with the class prior estimated before: a classifier of positives against unlabel
 and the prior is the least ratio of their shares above a threshold, each share moved by its
 sampling error against the estimate.
 
-Statistics are Spark expressions over the whole text, computed once and stored; the model is
-fitted on the driver on a sample bounded by `SAMPLE` rows of either kind (chosen by a hash of the
-id) and scores every row as a Spark expression.
+Statistics are Spark expressions over the whole text. The model is fitted on the driver on a
+sample of about `SAMPLE` rows of either kind at most (chosen by a hash of the id) and scores every
+row as a Spark expression.
 
 Null texts count as empty; empty texts have statistics of zero and a score like any other. A null
 id is never held out and never a training row. Contradicting labels of one id drop out. Without
@@ -32,11 +32,9 @@ from tallyroute.llm.common import (
     SPACES,
     crc_class,
     fraction_for,
-    fresh,
     in_sample,
     labels_of,
     let,
-    stored,
     without,
     words,
 )
@@ -169,18 +167,19 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS) -> Mod
     return Model(center, scale, w[:-1], float(w[-1]), prior)
 
 
-def trained(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model from rows (doc_id, x); held-out ids give no label."""
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Model from the texts of at most about `sample` positives and as many documents."""
     known = labels_of(labels, "quality").filter(
         (F.col("label") == 1) & (crc_class("doc_id", MODULUS) != HELD_OUT)
     )
     trusted = known.filter(in_sample("doc_id", fraction_for(known, sample), 51)).select("doc_id")
-    positive = stats.join(trusted, "doc_id").select("doc_id", "x")
-    free = stats.filter(in_sample("doc_id", fraction_for(stats, sample), 52)).select("doc_id", "x")
+    texts = docs.select("doc_id", "text")
+    positive = texts.join(F.broadcast(trusted), "doc_id")
+    free = texts.filter(in_sample("doc_id", fraction_for(docs, sample), 52))
 
     def rows(df: DataFrame) -> np.ndarray:
         # In a fixed order, so that reruns sum in the same order.
-        found = [r.x for r in df.orderBy("doc_id", F.col("x").cast("string")).collect()]
+        found = sorted(r.x for r in df.select(statistics(F.col("text")).alias("x")).collect())
         return np.array(found, float).reshape(-1, len(STATISTICS))
 
     return fit(rows(positive), rows(free))
@@ -188,17 +187,14 @@ def trained(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    stats = stored(docs.select("doc_id", statistics(F.col("text")).alias("x")), "statistics")
-    score = trained(stats, labels).expression(F.col("x"))
+    score = let(statistics(F.col("text")), trained(docs, labels).expression)
     held_out = F.coalesce(crc_class("doc_id", MODULUS) == HELD_OUT, F.lit(False))
-    return stats.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn(
+    return docs.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
     )
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is at least 0.5; columns as given."""
-    x = fresh(docs, "_statistics")
-    scored = stored(docs.withColumn(x, statistics(docs["text"])), "with-statistics")
-    model = trained(scored.select("doc_id", F.col(x).alias("x")), labels)
-    return scored.filter(model.expression(F.col(x)) >= 0.5).select(*docs.columns)
+    model = trained(docs, labels)
+    return docs.filter(let(statistics(F.col("text")), model.expression) >= 0.5)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyroute.llm.common import fresh, stored
+from tallyroute.llm.common import fresh, stored, with_row
 
 MAX_OWNERS = 1
 MASK = "[SECRET]"
@@ -217,7 +217,7 @@ def mask_live(docs: DataFrame) -> DataFrame:
     `n_chars` follows the text where the table has it; other columns are as given.
     """
     row, found = fresh(docs, "_row"), fresh(docs, "_live")
-    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "to-mask")
+    keyed = with_row(docs, row)
     _, spans = judged(keyed, row)
     live = (
         spans.filter("live")
@@ -231,8 +231,8 @@ def mask_live(docs: DataFrame) -> DataFrame:
             yield pd.Series([_masked(t, r) for t, r in zip(texts, ranges)], dtype=object)
 
     changed = F.when(
-        F.col(found).isNotNull(), F.pandas_udf(mask, "string")(keyed["text"], F.coalesce(found, F.array()))
-    ).otherwise(keyed["text"])
+        F.col(found).isNotNull(), F.pandas_udf(mask, "string")("text", F.coalesce(found, F.array()))
+    ).otherwise(F.col("text"))
     out = keyed.join(live, row, "left").withColumn("text", changed)
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
