@@ -259,14 +259,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, doc_id: str, fp: str, radius: int = MAX_BITS) -> DataFrame:
-    """(fp, component_id): smallest id of the documents each fingerprint reaches."""
+    """(fp, component, component_id): the smallest fingerprint each fingerprint reaches, and the
+    smallest id of the documents there. Ids that repeat may name two components alike."""
     prints = stored(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")), "prints")
     found = components(links(prints.select("fp"), radius))
     linked = prints.join(found, "fp", "left").withColumn(
         "component", F.coalesce("component", "fp")
     )
     ids = stored(linked.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
-    return linked.join(ids, "component").select("fp", "component_id")
+    return linked.join(ids, "component").select("fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -287,7 +288,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     kept = (
         ids.join(classes(ids, "doc_id", "fp"), "fp")
-        .groupBy("component_id")
+        .groupBy("component")
         .agg(F.min_by("row", order).alias(row))
     )
     return keyed.join(kept.select(row), row, "left_semi").select(*docs.columns)
