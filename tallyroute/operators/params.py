@@ -74,7 +74,8 @@ def weekly_mean(computed: DataFrame, days_per_week: int = 7) -> DataFrame:
     """Mean traffic from the gross volume, for weeks of 6 or 7 days."""
     if days_per_week not in (6, 7):
         raise ValueError("a week has 6 or 7 days")
-    mean = F.floor(F.col("volumeBrut") / days_per_week)
+    # Integer division: a quotient in floating point is wrong beyond 2**53.
+    mean = F.expr(f"volumeBrut div {days_per_week}")
     return computed.withColumn("traficMoyenHebdo", mean)
 
 
@@ -111,13 +112,14 @@ def drop_excluded_products(table: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def apply_variation(table: DataFrame, variations: DataFrame, measure: str) -> DataFrame:
-    """Traffic varied by the percentage of its site and category, held in its bounds."""
+    """Traffic varied by the percentage of its site and category, held in its bounds.
+
+    Of several variations of one site and category the highest counts.
+    """
     held = F.greatest(F.col("min"), F.least(F.col("max"), F.col("valeur")))
-    percent = variations.select(
-        F.col("site_id").alias("co_regate"),
-        F.col("categorie").alias("co_type_objet"),
-        held.alias("variation"),
-    )
+    percent = variations.groupBy(
+        F.col("site_id").alias("co_regate"), F.col("categorie").alias("co_type_objet")
+    ).agg(F.max(held).alias("variation"))
     rate = F.coalesce(F.col("variation"), F.lit(0))
     return table.join(small_side(percent), ["co_regate", "co_type_objet"], "left").select(
         *table.columns, (F.col(measure) * (rate + 100) / 100).alias("trafic_varie")
@@ -125,6 +127,13 @@ def apply_variation(table: DataFrame, variations: DataFrame, measure: str) -> Da
 
 
 def site_bridge(table: DataFrame, sites: DataFrame) -> DataFrame:
-    """Traffic with the attributes of its site."""
-    named = sites.withColumnRenamed("codeRegate", "co_regate")
+    """Traffic with the attributes of its site.
+
+    Of several sites with one code the first in the order of their columns counts.
+    """
+    others = [c for c in sites.columns if c != "codeRegate"]
+    first = sites.groupBy(F.col("codeRegate").alias("co_regate")).agg(
+        F.min(F.struct(*others)).alias("_site")
+    )
+    named = first.select("co_regate", *[F.col(f"_site.{c}").alias(c) for c in others])
     return table.join(small_side(named), "co_regate")

@@ -36,10 +36,17 @@ def site_filter(table: DataFrame, site: str) -> DataFrame:
 def multi_range_filter(
     table: DataFrame, grain: Grain, site: str, ranges: Sequence[tuple[str, str]]
 ) -> DataFrame:
-    """Rows of one site under any of the inclusive key ranges."""
+    """Rows of one site under any of the inclusive key ranges.
+
+    Keys begin with their year, so a stored table opens the years of the ranges only.
+    """
     if not ranges:
         return table.limit(0)
     inside = reduce(or_, [F.col(grain.key).between(a, b) for a, b in ranges])
+    years = [(a[:4], b[:4]) for a, b in ranges]
+    if PARTITION in table.columns and all(y.isdecimal() and len(y) == 4 for ys in years for y in ys):
+        year = F.col(PARTITION)
+        table = table.filter(reduce(or_, [year.between(int(a), int(b)) for a, b in years]))
     return site_filter(table, site).filter(inside)
 
 
@@ -195,13 +202,17 @@ def result_count(
 
 
 def _result_order(routed: DataFrame) -> list[str]:
+    """Keys, then all other columns: rows that tie are alike, whatever the table carries."""
     keys = ["da_comptage", "co_semaine_comptage", "co_mois_comptage", "cle_comptage"]
-    return [c for c in [*keys, *DESCRIPTIVE_COLUMNS] if c in routed.columns]
+    first = [c for c in [*keys, *DESCRIPTIVE_COLUMNS] if c in routed.columns]
+    return first + [c for c in routed.columns if c not in first and c != "request_id"]
 
 
 def limit_per_grain(routed: DataFrame, limit: int) -> DataFrame:
     """At most `limit` rows of each grain for each request; 0 keeps none."""
-    if limit <= 0:
+    if limit < 0:
+        raise ValueError("limit starts at 0")
+    if limit == 0:
         return routed.limit(0)
     rows = Window.partitionBy("request_id", "periode").orderBy(*_result_order(routed))
     ranked = routed.withColumn("rang", F.row_number().over(rows))

@@ -356,7 +356,7 @@ completees AS (
   SELECT scenario_id, coalesce(dateDebut, DATE '1998-06-15') AS dateDebut,
          coalesce(dateFin, DATE '2000-06-15') AS dateFin
   FROM plages
-), {_normalised('completees', '2015-01-01', '2031-12-31', 'parDefaut')}"""
+), {_normalised('completees', '1996-01-01', '2001-06-30', 'parDefaut')}"""
 
 
 def _neutralised(priority: str, site: str, name: str) -> str:
@@ -445,7 +445,7 @@ _ORDER = ", ".join(f"{c} NULLS FIRST" for c in _POSITION)
 
 ORACLE_SQL: dict[str, str] = {
     "traffic_scan": _with(
-        MARTS, select="SELECT co_regate, co_comptage, da_comptage, trafic_reel FROM jours"
+        MARTS, select="SELECT * FROM jours"
     ),
     "json_reference_scan": _with(
         SITES, select="SELECT codeRoc, codeRegate, libelle, libelleCourt, denomination FROM sites"
@@ -474,9 +474,9 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "project_all": _with(MARTS, select="SELECT * FROM semaines"),
     "level_filter": _with(
-        MARTS, select="SELECT * FROM mois WHERE co_niveau_regroupement_operationnel = 'SITE'"
+        MARTS, select="SELECT * FROM jours WHERE co_niveau_regroupement_operationnel = 'SITE'"
     ),
-    "product_in_filter": _with(MARTS, select=f"SELECT * FROM mois WHERE co_comptage IN {KNOWN}"),
+    "product_in_filter": _with(MARTS, select=f"SELECT * FROM jours WHERE co_comptage IN {KNOWN}"),
     "harmonise_grain": _with(
         MARTS,
         UNITED,
@@ -817,26 +817,27 @@ retouches AS (
 ),
 bornees AS (
   SELECT p.scenario_id, dateDebut AS a, dateFin AS f, sur_debut, v,
-         CASE WHEN sur_debut THEN least(greatest(v, DATE '2015-01-01'), dateFin)
-              ELSE greatest(least(v, DATE '2031-12-31'), dateDebut) END AS w
+         CASE WHEN sur_debut THEN least(greatest(v, DATE '1996-01-01'), dateFin)
+              ELSE greatest(least(v, DATE '2001-06-30'), dateDebut) END AS w
   FROM parDefaut p LEFT JOIN retouches r ON r.scenario_id = p.scenario_id
 )""",
         select=f"""SELECT scenario_id,
        CASE WHEN v IS NULL THEN a WHEN sur_debut THEN w
             ELSE greatest(a, {_shift('w', -2)}) END AS dateDebut,
        CASE WHEN v IS NULL THEN f WHEN NOT sur_debut THEN w
-            ELSE least(f, least({_shift('w', 2)}, DATE '2031-12-31')) END AS dateFin,
+            ELSE least(f, least({_shift('w', 2)}, DATE '2001-06-30')) END AS dateFin,
        coalesce(v <> w, false) AS ajuste
 FROM bornees""",
     ),
     "period_duration": _with(
         SCENARIOS,
+        _DEFAULTED,
         """
 ecarts AS (
   SELECT scenario_id, dateDebut, dateFin, year(dateFin) - year(dateDebut) AS y,
          month(dateFin) - month(dateDebut) AS m, day(dateFin) - day(dateDebut) AS j,
          day(date_trunc('month', dateFin) - INTERVAL 1 DAY) AS veille
-  FROM plages WHERE dateDebut IS NOT NULL
+  FROM parDefaut
 ),
 mois_justes AS (
   SELECT *, CASE WHEN j < 0 THEN m - 1 ELSE m END AS m1, CASE WHEN j < 0 THEN j + veille ELSE j END AS j1
@@ -859,10 +860,11 @@ justes AS (
     ),
     "period_position": _with(
         SCENARIOS,
+        _DEFAULTED,
         select="SELECT scenario_id, dateDebut, dateFin, "
         "CASE WHEN DATE '1998-06-15' < dateDebut THEN 'avant' "
         "WHEN DATE '1998-06-15' > dateFin THEN 'apres' ELSE 'pendant' END AS position "
-        "FROM plages WHERE dateDebut IS NOT NULL",
+        "FROM parDefaut",
     ),
     "weekly_mean": "SELECT p_brand AS produit, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) "
     "AS volumeBrut, CAST(sum(CAST(l_quantity AS BIGINT)) // 7 AS BIGINT) AS traficMoyenHebdo "
@@ -889,7 +891,7 @@ exclus AS (
   SELECT CAST(c_nationkey AS VARCHAR) AS site_id, ({CODES})[c_custkey % 12 + 1] AS code
   FROM customer GROUP BY ALL HAVING sum(c_custkey) % 2 = 0
 )""",
-        select="SELECT m.* FROM mois m ANTI JOIN exclus e "
+        select="SELECT m.* FROM jours m ANTI JOIN exclus e "
         "ON e.site_id = m.co_regate AND e.code = m.co_comptage",
     ),
     "apply_variation": _with(
@@ -900,13 +902,13 @@ taux AS (
          least(50, greatest(-50, CAST(sum(c_custkey) % 121 - 60 AS INTEGER))) AS v
   FROM customer GROUP BY ALL
 )""",
-        select="SELECT m.*, CAST(nb_objet_retenu * (coalesce(v, 0) + 100) AS DOUBLE) / 100.0 "
-        "AS trafic_varie FROM mois m LEFT JOIN taux "
+        select="SELECT m.*, CAST(trafic_reel * (coalesce(v, 0) + 100) AS DOUBLE) / 100.0 "
+        "AS trafic_varie FROM jours m LEFT JOIN taux "
         "ON site_id = co_regate AND categorie = co_type_objet",
     ),
     "site_bridge": _with(
         MARTS,
         select="SELECT m.*, 'ROC' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS codeRoc, "
-        "n_name AS libelle FROM mois m JOIN nation ON CAST(n_nationkey AS VARCHAR) = co_regate",
+        "n_name AS libelle FROM jours m JOIN nation ON CAST(n_nationkey AS VARCHAR) = co_regate",
     ),
 }

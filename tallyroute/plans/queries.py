@@ -51,8 +51,7 @@ def _segments(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def traffic_scan(spark, sf):
-    days = inputs.marts(spark, sf)["jours"]
-    return days.select("co_regate", "co_comptage", "da_comptage", "trafic_reel")
+    return public_columns(inputs.marts(spark, sf)["jours"])
 
 
 @query
@@ -121,12 +120,12 @@ def project_all(spark, sf):
 
 @query
 def level_filter(spark, sf):
-    return public_columns(traffic.level_filter(inputs.marts(spark, sf)["mois"]))
+    return public_columns(traffic.level_filter(inputs.marts(spark, sf)["jours"]))
 
 
 @query
 def product_in_filter(spark, sf):
-    return public_columns(traffic.product_filter(inputs.marts(spark, sf)["mois"]))
+    return public_columns(traffic.product_filter(inputs.marts(spark, sf)["jours"]))
 
 
 @query
@@ -442,30 +441,37 @@ def param_payload(spark, sf):
 # --- periods ----------------------------------------------------------------------------
 
 
+# Bounds that fit the dates of the given tables.
+BOUNDS = ("1996-01-01", "2001-06-30")
+
+
+def _periods(spark, sf):
+    return periods.default_periods(inputs.scenario_periods(spark, sf), _as_of(), *BOUNDS)
+
+
 @query
 def normalise_periods(spark, sf):
-    return periods.normalise_periods(inputs.scenario_periods(spark, sf), "1996-01-01", "2001-06-30")
+    return periods.normalise_periods(inputs.scenario_periods(spark, sf), *BOUNDS)
 
 
 @query
 def default_periods(spark, sf):
-    return periods.default_periods(inputs.scenario_periods(spark, sf), _as_of())
+    return _periods(spark, sf)
 
 
 @query
 def apply_period_edits(spark, sf):
-    current = periods.default_periods(inputs.scenario_periods(spark, sf), _as_of())
-    return periods.apply_period_edits(current, inputs.period_edits(spark, sf))
+    return periods.apply_period_edits(_periods(spark, sf), inputs.period_edits(spark, sf), *BOUNDS)
 
 
 @query
 def period_duration(spark, sf):
-    return periods.period_duration(inputs.scenario_periods(spark, sf).dropna())
+    return periods.period_duration(_periods(spark, sf))
 
 
 @query
 def period_position(spark, sf):
-    return periods.period_position(inputs.scenario_periods(spark, sf).dropna(), _as_of())
+    return periods.period_position(_periods(spark, sf), _as_of())
 
 
 # --- parameters -------------------------------------------------------------------------
@@ -487,17 +493,17 @@ def drop_neutralised_days(spark, sf):
 
 @query
 def drop_excluded_products(spark, sf):
-    months = public_columns(inputs.marts(spark, sf)["mois"])
-    return params.drop_excluded_products(months, inputs.excluded_products(spark, sf))
+    days = public_columns(inputs.marts(spark, sf)["jours"])
+    return params.drop_excluded_products(days, inputs.excluded_products(spark, sf))
 
 
 @query
 def apply_variation(spark, sf):
-    months = public_columns(inputs.marts(spark, sf)["mois"])
-    return params.apply_variation(months, inputs.traffic_variations(spark, sf), MOIS.measure)
+    days = public_columns(inputs.marts(spark, sf)["jours"])
+    return params.apply_variation(days, inputs.traffic_variations(spark, sf), JOURS.measure)
 
 
 @query
 def site_bridge(spark, sf):
-    months = public_columns(inputs.marts(spark, sf)["mois"])
-    return params.site_bridge(months, inputs.traffic_sites(spark, sf))
+    days = public_columns(inputs.marts(spark, sf)["jours"])
+    return params.site_bridge(days, inputs.traffic_sites(spark, sf))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,11 +44,21 @@ def keyed_file_scan(
 ) -> DataFrame:
     """Records of all files `prefix-<key>.json`, the key read from the name.
 
-    Folders `prefix=<key>`, as Spark writes them, count too. With `value` only
-    the files of that key are listed. No file at all is an empty table.
+    Folders `prefix=<key>` or `prefix-<key>`, as Spark writes them, count too. A key may hold any
+    character a name can: only the last `.json` is cut off. With a plain `value` only the
+    files of that key are listed; with any other all are, and their keys compared. No file at all is
+    an empty table.
     """
-    pattern = f"{folder}/{prefix}[-=]" + (f"{value}{{,.json}}" if value else "*")
-    name = F.regexp_extract(F.col("_metadata.file_path"), rf"/{prefix}[-=]([^/.]+)", 1)
+    plain = value is not None and re.fullmatch("[A-Za-z0-9_]+", value)
+    pattern = f"{folder}/{prefix}[-=]" + (f"{value}{{,.json}}" if plain else "*")
+    # Paths are URL-encoded; a plus sign stands for itself there.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    start = re.escape(prefix)
+    file = F.regexp_extract(path, rf"/{start}-([^/]*)\.json$", 1)
+    inside = F.regexp_extract(path, rf"/{start}[-=]([^/]*)/[^/]*$", 1)
+    # Spark escapes some characters of a folder's name itself.
+    inside = F.url_decode(F.replace(inside, F.lit("+"), F.lit("%2B")))
+    name = F.when(file != "", file).otherwise(inside)
     reader = spark.read.schema(schema).option("multiLine", multi_line)
     try:
         records = reader.option("recursiveFileLookup", True).json(pattern)

@@ -53,3 +53,16 @@ def test_nested_type_of_a_count(spark, folder):
     records = json_assets.json_reference_scan(spark, f"{folder}/comptages-scenario-7.json", json_assets.COUNT)
     row = json_assets.nested_flatten(records, "trafic", "trafic_").first()
     assert (row.id, row.trafic_id, row.trafic_code, row.valeur) == (1, 2, "PL", 9)
+
+
+def test_keys_may_hold_any_character(spark, tmp_path):
+    names = ["A.1", "A.2", "Été 3", "a+b", "x{y}*", "50%"]
+    for i, name in enumerate(names):
+        (tmp_path / f"liste-{name}.json").write_text(f'{{"id": {i}}}\n')
+    read = lambda value=None: json_assets.keyed_file_scan(
+        spark, str(tmp_path), "liste", "id int", "cle", value, multi_line=False
+    )
+    assert {r.cle: r.id for r in read().collect()} == {n: i for i, n in enumerate(names)}
+    for i, name in enumerate(names):
+        assert [(r.id, r.cle) for r in read(name).collect()] == [(i, name)]
+    assert read("").count() == 0

@@ -75,3 +75,18 @@ def test_variation_is_held_in_its_bounds(spark):
     )
     varied = params.apply_variation(table, rates, "nb_objet_retenu")
     assert sorted(r.trafic_varie for r in varied.collect()) == [180.0, 200.0, 300.0]
+
+
+def test_integer_mean_and_single_parameters(spark):
+    from tallyroute.operators import params
+
+    big = spark.createDataFrame([(63050394783186951,)], "volumeBrut bigint")
+    assert params.weekly_mean(big).first().traficMoyenHebdo == 9007199254740993
+    row = spark.createDataFrame([("1", "T0", 100)], "co_regate string, co_type_objet string, n int")
+    twice = spark.createDataFrame(
+        [("1", "T0", 0, 50, 20), ("1", "T0", 0, 50, 10)],
+        "site_id string, categorie string, min int, max int, valeur int",
+    )
+    assert [r.trafic_varie for r in params.apply_variation(row, twice, "n").collect()] == [120.0]
+    sites = spark.createDataFrame([("1", "b"), ("1", "a")], "codeRegate string, codeRoc string")
+    assert [r.codeRoc for r in params.site_bridge(row, sites).collect()] == ["a"]
