@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyroute.llm.bpe import portions
 from tallyroute.llm.common import crc_class, fraction_for, in_sample, labels_of, stored
 
 SAMPLE = 12_000
@@ -373,9 +374,13 @@ def _restorer(key: bytes) -> Restorer:
 
 
 def _hits_of(texts: pd.Series, model: Model) -> list[set[str]]:
-    both = [readings(t.lower()) if isinstance(t, str) else (set(), []) for t in texts]
-    read = _restorer(model.characters.tobytes()).restored([hidden for _, hidden in both])
-    return [model.hits(plain, r) for (plain, _), r in zip(both, read)]
+    restorer = _restorer(model.characters.tobytes())
+    hits: list[set[str]] = []
+    for part in portions([t if isinstance(t, str) else "" for t in texts]):
+        both = [readings(t.lower()) for t in part]
+        read = restorer.restored([hidden for _, hidden in both])
+        hits += [model.hits(plain, r) for (plain, _), r in zip(both, read)]
+    return hits
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
