@@ -151,10 +151,21 @@ def indexed(entry: DataFrame, length: int, blocks: int) -> list[DataFrame]:
     keys = stored(entry.withColumn("key", F.pandas_udf(keyed, "array<bigint>")(F.col("v"))), "curve-keys")
     out = []
     for c in range(CURVES):
-        # Range partitioning samples its input: the blocks are stored, never computed twice.
-        placed = keys.select("n", "v", F.col("key")[c].alias("key")).repartitionByRange(blocks, "key")
-        block = F.spark_partition_id().alias("block")
-        out.append(stored(placed.select("n", "v", block), f"curve-{c}"))
+        # Range partitioning samples its input: places are stored, never computed twice. The low
+        # bits of the id are a row's place in its partition, the high ones the partition.
+        placed = keys.select("n", "v", F.col("key")[c].alias("key"))
+        placed = placed.repartitionByRange(blocks, "key").sortWithinPartitions("key", "n")
+        number = F.monotonically_increasing_id()
+        part, at = F.shiftright(number, 33), number.bitwiseAND(F.lit((1 << 33) - 1))
+        rows = stored(placed.select("n", "v", part.alias("part"), at.alias("at")), f"curve-{c}")
+        # One row per partition comes to the driver.
+        sizes = sorted((r.part, r["count"]) for r in rows.groupBy("part").count().collect())
+        before = np.cumsum([0] + [n for _, n in sizes]).tolist()
+        begins = keys.sparkSession.createDataFrame(
+            [(part, begin) for (part, _), begin in zip(sizes, before)], "part bigint, begin bigint"
+        )
+        block = F.expr(f"(begin + at) div {BLOCK}").cast("int").alias("block")
+        out.append(rows.join(F.broadcast(begins), "part").select("n", "v", block))
     return out
 
 
