@@ -173,12 +173,18 @@ def apply_count_edits(counts: DataFrame, edits: DataFrame, types: DataFrame) ->
     """Counts after a mixed log (`op` = ajout, modification, suppression) in `seq` order.
 
     An id is never given twice, so a row survives if no deletion follows its
-    creation, and its value is the last update that does.
+    creation, and its value is the last update that does. Where `counts` tell the
+    place of a row in its list (`position`), new rows come after those loaded.
     """
     adds = lookup_type(
         accepted(validate_counts(edits.filter(F.col("op") == "ajout").drop("id"))), types
     )
     fresh = next_ids(counts, adds.select("scenario_id", "seq", "type_id", "valeur"), "scenario_id")
+    if "position" in counts.columns:
+        # New ids rise in the order of the log, beyond every loaded one.
+        ends = counts.groupBy("scenario_id").agg(F.max("position").alias("_dernier"))
+        after = F.coalesce(F.col("_dernier"), F.lit(0)) + F.col("id")
+        fresh = fresh.join(ends, "scenario_id", "left").withColumn("position", after)
     rows = counts.withColumn("_cree", F.lit(-1).cast("bigint")).unionByName(
         fresh.select(*counts.columns, F.col("seq").alias("_cree"))
     )
@@ -232,15 +238,17 @@ def detect_changes(
     current: DataFrame,
     group: str = "scenario_id",
     fields: Sequence[str] = ("type_id", "valeur"),
+    order: str = "id",
 ) -> DataFrame:
     """Whether each group's ordered list of values differs from the snapshot.
 
-    Rows are compared position by position; their ids only give the order. Both
-    tables are read twice, so a table that is costly to work out is best stored.
+    Rows are compared place by place; `order`, an integer unique in its group,
+    only gives the order: the position in a file's list, or the id where the list
+    is in id order. A table that is costly to work out is best stored first.
     """
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        rows = numbered(df.select(group, "id", *fields), [group], "id", "rang")
+        rows = numbered(df.select(group, order, *fields), [group], order, "rang")
         return rows.select(group, "rang", F.struct(*fields).alias(name))
 
     pairs = side(snapshot, "avant").join(side(current, "apres"), [group, "rang"], "full")

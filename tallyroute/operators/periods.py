@@ -61,49 +61,48 @@ def default_periods(
 def apply_period_edits(
     periods: DataFrame, edits: DataFrame, low: str = PERIOD_MIN, high: str = PERIOD_MAX
 ) -> DataFrame:
-    """Periods after one edit per scenario (`cote` = debut or fin, `valeur` a text date).
+    """Periods after a log of edits (`cote` = debut or fin, `valeur` a text date).
 
-    The edited end is held between the bound and the other end, which then
-    gives way if the span is too long; `ajuste` tells of the first only. A text
-    that is no date changes nothing. Two edits of one scenario in the same
-    batch fail the job: the second depends on the first's outcome.
+    Edits of a scenario act in the order of `seq`, each on what the last one
+    left. The edited end is held between the bound and the other end, which then
+    gives way if the span is too long; `ajuste` tells whether any edited date was
+    moved. A text that is no date changes nothing. Without `seq`, or where it
+    ties, edits of the start come before edits of the end, earlier dates first.
+
+    The edits of one scenario are folded in its own row: each depends on the one
+    before, so a log is as long as one row may be (some 30 bytes an edit).
     """
     lo, hi = _bounds(low, high)
-    single = edits.groupBy("scenario_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("cote").alias("_cote"),
-        F.min(parse_iso(F.col("valeur"))).alias("_jour"),
+    seq = F.col("seq") if "seq" in edits.columns else F.lit(0)
+    log = edits.select(
+        "scenario_id", seq.alias("seq"), "cote", parse_iso(F.col("valeur")).alias("jour")
+    ).filter(F.col("jour").isNotNull() & F.col("cote").isin("debut", "fin"))
+    logs = log.groupBy("scenario_id").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "cote", "jour"))).alias("_journal")
     )
-    # raise_error sits in the edited date itself, so that it cannot be pruned.
-    once = F.when(
-        F.col("_n") > 1,
-        F.raise_error(F.concat(F.lit("several edits of scenario "), F.col("scenario_id"))).cast(
-            "date"
-        ),
-    ).otherwise(F.col("_jour"))
-    start, end, day = F.col("dateDebut"), F.col("dateFin"), F.col("_jour")
-    on_start = day.isNotNull() & (F.col("_cote") == "debut")
-    on_end = day.isNotNull() & (F.col("_cote") == "fin")
-    new_start = F.least(F.greatest(day, lo), end)
-    new_end = F.greatest(F.least(day, hi), start)
-    adjusted = F.when(on_start, (day < lo) | (F.greatest(day, lo) > end)).when(
-        on_end, (day > hi) | (F.least(day, hi) < start)
+
+    def edited(state: Column, edit: Column) -> Column:
+        start, end, day = state["debut"], state["fin"], edit["jour"]
+        on_start = edit["cote"] == "debut"
+        new_start = F.least(F.greatest(day, lo), end)
+        new_end = F.greatest(F.least(day, hi), start)
+        moved = F.when(on_start, day != new_start).otherwise(day != new_end)
+        return F.struct(
+            F.when(on_start, new_start)
+            .otherwise(_capped_start(start, new_end, lo, hi))
+            .alias("debut"),
+            F.when(on_start, _capped_end(new_start, end, lo, hi)).otherwise(new_end).alias("fin"),
+            (state["ajuste"] | moved).alias("ajuste"),
+        )
+
+    begun = F.struct(
+        F.col("dateDebut").alias("debut"), F.col("dateFin").alias("fin"), F.lit(False).alias("ajuste")
     )
     return (
-        periods.join(single.withColumn("_jour", once), "scenario_id", "left")
-        .withColumns(
-            {
-                "_debut": F.when(on_start, new_start)
-                .when(on_end, _capped_start(start, new_end, lo, hi))
-                .otherwise(start),
-                "_fin": F.when(on_end, new_end)
-                .when(on_start, _capped_end(new_start, end, lo, hi))
-                .otherwise(end),
-                "ajuste": F.coalesce(adjusted, F.lit(False)),
-            }
-        )
-        .withColumns({"dateDebut": F.col("_debut"), "dateFin": F.col("_fin")})
-        .select(*periods.columns, "ajuste")
+        periods.join(logs, "scenario_id", "left")
+        .withColumn("_etat", F.coalesce(F.aggregate("_journal", begun, edited), begun))
+        .withColumns({"dateDebut": F.col("_etat.debut"), "dateFin": F.col("_etat.fin")})
+        .select(*periods.columns, F.col("_etat.ajuste").alias("ajuste"))
     )
 
 

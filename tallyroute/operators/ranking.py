@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyroute.plans.sizing import MAX_BROADCAST_ROWS, fits
-
-# Rows of one group that one task may sort.
+# Rows of one group that one task sorts, if their order values lie evenly.
 GROUP_ROWS = 1_000_000
 
 
@@ -22,61 +20,47 @@ def numbered(
     """Number the rows of each group 1, 2, … in `order`, as the column `name`.
 
     `order` is an integer unique in its group. `start` holds one row per group
-    and the number (`debut`) to go on from.
+    and the number (`debut`) to go on from. A NULL group is a group too.
 
-    Groups are counted first. Where none has more than `max_rows` rows, this is
-    a window over the group. Larger groups are cut into blocks of `order`, each
-    numbered by itself, and what comes before a block is added from the block
-    counts: a group that holds a third of all rows is spread over many tasks.
+    The span of a group's order values is cut into as many equal blocks as the
+    group has multiples of `max_rows` rows. Each block is numbered by itself,
+    and what comes before it is added from the block counts, so a group that
+    holds a third of all rows is spread over many tasks. Sparse values make no
+    more blocks than dense ones; values crowded into a small part of their span
+    make blocks of more than `max_rows` rows. Nothing runs while the plan is
+    built; the result reads `df` three times.
     """
-    large = (
-        df.groupBy(*group)
+    first, last = F.min(order).cast("double"), F.max(order).cast("double")
+    spans = df.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"), first.alias("_premier"), last.alias("_dernier")
+    )
+    # One row per `max_rows` rows of the input at most, so both broadcasts stay small.
+    large = spans.filter(F.col("_n") > max_rows)
+    parts = F.ceil(F.col("_n") / max_rows)
+    place = F.width_bucket(F.col(order).cast("double"), "_premier", "_dernier", parts)
+    marked = df.join(F.broadcast(large), group, "left").select(
+        *df.columns, F.coalesce(place, F.lit(0)).alias("_bloc")
+    )
+    counts = (
+        marked.filter(F.col("_bloc") > 0)
+        .groupBy(*group, "_bloc")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > max_rows)
-        .select(*group, F.lit(True).alias("_grand"))
     )
-    if fits(large, 0):
-        return _in_one_window(df, group, order, name, start)
-    # There are at most as many large groups as blocks of `max_rows` rows.
-    few = fits(large, MAX_BROADCAST_ROWS)
-    marked = df.join(F.broadcast(large) if few else large, group, "left")
-    return _in_blocks(marked, df.columns, group, order, name, start, max_rows)
-
-
-def _in_one_window(df, group, order, name, start) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(order)).cast("bigint")
-    if start is None:
-        return df.select("*", rank.alias(name))
-    columns = [F.col(c) for c in df.columns]
-    begun = df.join(start, group, "left")
-    return begun.select(*columns, (F.coalesce("debut", F.lit(0)) + rank).alias(name))
-
-
-def _in_blocks(marked, columns, group, order, name, start, max_rows) -> DataFrame:
-    block = F.when(F.col("_grand"), F.floor(F.col(order) / max_rows)).otherwise(0)
-    keyed = marked.withColumn("_bloc", block)
     earlier = Window.partitionBy(*group).orderBy("_bloc").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    counts = keyed.filter("_grand").groupBy(*group, "_bloc").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(*group, "_bloc", before.alias("_avant"))
+    offsets = counts.select(*group, "_bloc", F.sum("_n").over(earlier).alias("_avant"))
+    number = F.coalesce("_avant", F.lit(0)) + F.col("_rang")
     if start is not None:
-        whole = start.join(counts.select(*group).distinct(), group, "left_anti")
-        begun = F.col("_avant") + F.coalesce(F.col("debut"), F.lit(0))
-        offsets = (
-            offsets.join(start, group, "left")
-            .select(*group, "_bloc", begun.alias("_avant"))
-            .unionByName(
-                whole.select(*group, F.lit(0).alias("_bloc"), F.col("debut").alias("_avant"))
-            )
-        )
+        begun = start.select(*group, F.col("debut").alias("_debut"))
+        marked = marked.join(begun, group, "left")
+        number = number + F.coalesce("_debut", F.lit(0))
     # An explicit exchange: a partitioning on `group` alone, left by an earlier
     # step, would also satisfy the window and keep a large group in one task.
-    spread = keyed.repartition(*group, "_bloc")
+    spread = marked.repartition(*group, "_bloc")
     inside = Window.partitionBy(*group, "_bloc").orderBy(order)
     return (
         spread.withColumn("_rang", F.row_number().over(inside))
-        .join(offsets.filter("_avant > 0"), [*group, "_bloc"], "left")
-        .select(*columns, (F.coalesce("_avant", F.lit(0)) + F.col("_rang")).alias(name))
+        .join(F.broadcast(offsets), [*group, "_bloc"], "left")
+        .select(*df.columns, number.cast("bigint").alias(name))
     )

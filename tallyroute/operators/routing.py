@@ -19,7 +19,6 @@ from tallyroute.constants import (
     DEFAULT_SCHEMA,
     DESCRIPTIVE_COLUMNS,
     GRAINS,
-    MAX_SPAN_DAYS,
     Grain,
 )
 from tallyroute.functions.dates import (
@@ -28,13 +27,9 @@ from tallyroute.functions.dates import (
     period_key,
     period_starts,
 )
-from tallyroute.plans.sizing import MAX_BROADCAST_ROWS, fits
+from tallyroute.plans.sizing import MAX_BROADCAST_ROWS
 from tallyroute.sources.marts import PARTITION
 
-# No segment of an automatic decomposition covers more keys than its months.
-KEYS_PER_AUTO_SEGMENT = 24
-KEYS_PER_FIXED_SEGMENT = MAX_SPAN_DAYS + 1
-
 ROUTED_COLUMNS = [
     "request_id",
     "periode",
@@ -223,8 +218,22 @@ def segment_keys(segments: DataFrame, grain: Grain) -> DataFrame:
     )
 
 
-def may_broadcast(segments: DataFrame, keys_per_segment: int) -> bool:
-    return fits(segments, MAX_BROADCAST_ROWS // keys_per_segment)
+def may_broadcast(segments: DataFrame) -> bool:
+    """Whether the keys all segments stand for are few enough to broadcast.
+
+    The number is worked out from the dates of each segment and summed: one pass
+    over the requests, the only job an operator starts. Weeks may count one too many.
+    """
+    first, last = F.col("seg_debut"), F.col("seg_fin")
+    days = F.datediff(last, first) + 1
+    months = (F.year(last) - F.year(first)) * 12 + F.month(last) - F.month(first) + 1
+    keys = (
+        F.when(F.col("periode") == "mois", months)
+        .when(F.col("periode") == "semaines", F.floor(days / 7) + 2)
+        .otherwise(days)
+    )
+    total = segments.agg(F.sum(F.greatest(keys.cast("bigint"), F.lit(0)))).first()[0]
+    return (total or 0) <= MAX_BROADCAST_ROWS
 
 
 def join_keys(table: DataFrame, keys: DataFrame, grain: Grain, broadcast: bool) -> DataFrame:
@@ -249,15 +258,14 @@ def route_traffic(
     segments: DataFrame,
     marts: dict[str, DataFrame],
     grains: dict[str, Grain] = GRAINS,
-    keys_per_segment: int = KEYS_PER_AUTO_SEGMENT,
     broadcast: bool | None = None,
 ) -> DataFrame:
     """Traffic rows of every request, each grain read once.
 
-    `broadcast=None` counts the segments, up to the bound, to choose the join.
+    `broadcast=None` counts the keys of the segments to choose the join.
     """
     if broadcast is None:
-        broadcast = may_broadcast(segments, keys_per_segment)
+        broadcast = may_broadcast(segments)
     parts = {
         name: join_keys(marts[name], segment_keys(segments, grain), grain, broadcast)
         for name, grain in grains.items()

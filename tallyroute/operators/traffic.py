@@ -20,7 +20,6 @@ from tallyroute.constants import (
     Grain,
 )
 from tallyroute.operators.routing import (
-    KEYS_PER_AUTO_SEGMENT,
     concat_grains,
     join_keys,
     may_broadcast,
@@ -82,6 +81,8 @@ def table_preview(
         table = site_filter(table, site)
     if key is not None:
         table = table.filter(F.col(grain.key) == key)
+        if PARTITION in table.columns and key[:4].isdecimal() and len(key) >= 4:
+            table = table.filter(F.col(PARTITION) == int(key[:4]))
     return public_columns(table).orderBy(grain.key, *DESCRIPTIVE_COLUMNS).limit(limit)
 
 
@@ -96,25 +97,25 @@ def _per_key(
     groups: list[str],
     measure,
     filtered: bool,
-    keys_per_segment: int,
     broadcast: bool | None,
 ) -> DataFrame:
     """Grain aggregates joined to the requests that cover their key.
 
     A key belongs to a request whole or not at all, so the traffic is
-    aggregated once, before the join, not once per request. When the requests
-    are few, the traffic they do not touch is dropped first.
+    aggregated once, before the join, not once per request. The traffic no
+    request touches is dropped first. Without a broadcast the remaining rows are
+    shuffled once, on the join key: the aggregate and the join both keep it.
     """
     if broadcast is None:
-        broadcast = may_broadcast(segments, keys_per_segment)
+        broadcast = may_broadcast(segments)
     parts = {}
     for name, grain in grains.items():
         table = _kept(marts[name]) if filtered else marts[name]
         keys = segment_keys(segments, grain)
         on = ["co_regate", grain.key] + [c for c in (PARTITION,) if c in table.columns]
-        if broadcast:
-            touched = F.broadcast(keys.select(*on).distinct())
-            table = table.join(touched, on, "left_semi")
+        touched = keys.select(*on).distinct()
+        touched = F.broadcast(touched) if broadcast else touched.hint("merge")
+        table = table.join(touched, on, "left_semi")
         by = [*on, *[c for c in groups if c not in on]]
         sums = table.groupBy(*by).agg(measure(grain))
         joined = join_keys(sums, keys, grain, broadcast)
@@ -126,7 +127,6 @@ def traffic_group_sum(
     segments: DataFrame,
     marts: dict[str, DataFrame],
     grains: dict[str, Grain] = GRAINS,
-    keys_per_segment: int = KEYS_PER_AUTO_SEGMENT,
     broadcast: bool | None = None,
 ) -> DataFrame:
     """Site-level traffic of the known codes, summed by key and description."""
@@ -137,7 +137,6 @@ def traffic_group_sum(
         DESCRIPTIVE_COLUMNS,
         lambda g: F.sum(g.measure).alias("nb_objet_trafic_reel"),
         True,
-        keys_per_segment,
         broadcast,
     )
     return sums.select(
@@ -146,7 +145,7 @@ def traffic_group_sum(
 
 
 def _row_counts(
-    segments, marts, grains, filtered, keys_per_segment, broadcast, limit=None
+    segments, marts, grains, filtered, broadcast, limit=None
 ) -> DataFrame:
     counts = _per_key(
         segments,
@@ -155,7 +154,6 @@ def _row_counts(
         [],
         lambda g: F.count(F.lit(1)).alias("lignes"),
         filtered,
-        keys_per_segment,
         broadcast,
     )
     total = F.sum("lignes").alias("lignes")
@@ -176,11 +174,10 @@ def traffic_count_only(
     segments: DataFrame,
     marts: dict[str, DataFrame],
     grains: dict[str, Grain] = GRAINS,
-    keys_per_segment: int = KEYS_PER_AUTO_SEGMENT,
     broadcast: bool | None = None,
 ) -> DataFrame:
     """Source rows of the filtered query, per request; 0 when nothing matches."""
-    counts = _row_counts(segments, marts, grains, True, keys_per_segment, broadcast)
+    counts = _row_counts(segments, marts, grains, True, broadcast)
     return _complete(requests, counts, "total")
 
 
@@ -189,7 +186,6 @@ def result_count(
     segments: DataFrame,
     marts: dict[str, DataFrame],
     grains: dict[str, Grain] = GRAINS,
-    keys_per_segment: int = KEYS_PER_AUTO_SEGMENT,
     broadcast: bool | None = None,
     limit: int | None = None,
 ) -> DataFrame:
@@ -197,7 +193,7 @@ def result_count(
 
     With `limit`, the rows left when each grain returns at most that many.
     """
-    counts = _row_counts(segments, marts, grains, False, keys_per_segment, broadcast, limit)
+    counts = _row_counts(segments, marts, grains, False, broadcast, limit)
     return _complete(requests, counts, "count")
 
 

@@ -36,7 +36,7 @@ def traffic_answer(
     judged = requests.validate_requests(asked)
     accepted = requests.valid(judged).select("request_id", "co_regate", "dt_debut", "dt_fin")
     segments = routing.decompose_auto(accepted)
-    few = routing.may_broadcast(segments, routing.KEYS_PER_AUTO_SEGMENT)
+    few = routing.may_broadcast(segments)
     rows = routing.route_traffic(segments, marts, grains, broadcast=few)
     if limit is not None:
         rows = traffic.limit_per_grain(rows, limit)

@@ -191,6 +191,21 @@ def edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(derived_table(spark, sf_dir, "comptages_modifies", write))
 
 
+def positioned_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts as lists that are not in the order of their ids."""
+    return counts(spark, sf_dir).withColumn("position", 7 - F.col("id"))
+
+
+def edited_positioned_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those lists after the edit log, stored once."""
+
+    def write(path: str) -> None:
+        before, log = positioned_counts(spark, sf_dir), count_edits(spark, sf_dir)
+        apply_count_edits(before, log, type_table(spark)).write.mode("overwrite").parquet(path)
+
+    return spark.read.parquet(derived_table(spark, sf_dir, "comptages_positions", write))
+
+
 def new_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenario names typed for the sites, some of them blank."""
     nom = F.when(_k() % 5 == 0, "   ").otherwise(
@@ -221,6 +236,24 @@ def period_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def period_edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One to four period edits per scenario; every seventh text is no date."""
+    key, seq = F.col("o_orderkey"), F.col("seq")
+    numbers = F.sequence(F.lit(1), (F.pmod(key, F.lit(4)) + 1).cast("int"))
+    offset = F.pmod(key * 131 + seq * 977, F.lit(9000)) - 3000
+    moved = F.date_add(F.col("o_orderdate").cast("date"), offset.cast("int"))
+    return (
+        table(spark, sf_dir, "orders")
+        .select("o_orderkey", "o_orderdate", F.explode(numbers).alias("seq"))
+        .select(
+            key.alias("scenario_id"),
+            "seq",
+            F.when((F.floor(key / 2) + seq) % 2 == 0, "debut").otherwise("fin").alias("cote"),
+            F.when((key + seq) % 7 == 0, "bientôt").otherwise(moved.cast("string")).alias("valeur"),
+        )
+    )
+
+
 # --- parameter tables -----------------------------------------------------------
 
 

@@ -359,6 +359,25 @@ completees AS (
 ), {_normalised('completees', '1996-01-01', '2001-06-30', 'parDefaut')}"""
 
 
+def _edit_step(k: int) -> str:
+    """The periods after the k-th edit of each scenario, from those before it."""
+    return f"""
+etape{k} AS (
+  SELECT scenario_id,
+         CASE WHEN v IS NULL THEN a WHEN sur_debut THEN w
+              ELSE greatest(a, {_shift('w', -2)}) END AS a,
+         CASE WHEN v IS NULL THEN f WHEN NOT sur_debut THEN w
+              ELSE least(f, {_shift('w', 2)}, DATE '2001-06-30') END AS f,
+         ajuste OR coalesce(v <> w, false) AS ajuste
+  FROM (
+    SELECT p.scenario_id, a, f, ajuste, sur_debut, v,
+           CASE WHEN sur_debut THEN least(greatest(v, DATE '1996-01-01'), f)
+                ELSE greatest(least(v, DATE '2001-06-30'), a) END AS w
+    FROM etape{k - 1} p
+    LEFT JOIN retouches r ON r.scenario_id = p.scenario_id AND r.seq = {k})
+)"""
+
+
 def _neutralised(priority: str, site: str, name: str) -> str:
     join = "JOIN customer ON c_custkey = o_custkey" if site == "c_nationkey" else ""
     return f"""
@@ -388,6 +407,19 @@ produits AS (
 _PERIOD_TEXT = "concat_ws(':', id, dateDebut, dateFin, motif)"
 
 
+_PERIOD_LISTS = [
+    _neutralised("1-URGENT", "o_custkey", "generales"),
+    _neutralised("2-HIGH", "o_custkey", "pointes"),
+    _neutralised("3-MEDIUM", "o_custkey", "secondaires"),
+]
+_VARIATIONS = """
+variations AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS site_id, o_orderkey AS ordre, 'C' || o_orderkey AS categorie,
+         o_orderkey % 101 - 50 AS valeur
+  FROM orders WHERE o_orderpriority = '5-LOW'
+)"""
+
+
 def _listed(name: str, source: str, text: str) -> str:
     return (
         f"{name}_t AS (SELECT site_id, string_agg({text}, ';' ORDER BY ordre) AS t "
@@ -638,6 +670,24 @@ cles AS (SELECT DISTINCT request_id, co_regate, periode, {_key('d')} AS cle FROM
         KEYS,
         ROUTED,
         """
+parGrain AS (
+  SELECT request_id, periode, count(*) AS n FROM route GROUP BY 1, 2
+)""",
+        select="SELECT j.request_id, j.co_regate, CAST(dt_debut AS VARCHAR) AS date_debut, "
+        "CAST(dt_fin AS VARCHAR) AS date_fin, CAST(coalesce(sum(n), 0) AS BIGINT) AS \"count\" "
+        "FROM jugees j LEFT JOIN parGrain g ON g.request_id = j.request_id "
+        "WHERE motif IS NULL GROUP BY ALL",
+    ),
+    "traffic_headers_limited": _with(
+        MARTS,
+        UNITED,
+        RAW,
+        JUDGED,
+        _TYPED_DAYS,
+        LABELS,
+        KEYS,
+        ROUTED,
+        """
 parGrain AS (
   SELECT request_id, periode, least(count(*), 5) AS n FROM route GROUP BY 1, 2
 )""",
@@ -773,18 +823,56 @@ texte_apres AS (
         select="SELECT scenario_id, a.t IS DISTINCT FROM b.t AS modifie "
         "FROM texte_avant a FULL JOIN texte_apres b USING (scenario_id)",
     ),
-    "param_payload": _with(
+    "detect_changes_by_position": _with(
+        COUNTS,
+        TYPES,
+        EDITS,
+        EDITED,
+        """
+tetes AS (SELECT scenario_id, max(id) AS top FROM comptages GROUP BY 1),
+texte_avant AS (
+  SELECT scenario_id, string_agg(type_id || '=' || coalesce(CAST(valeur AS VARCHAR), 'null'), ';'
+           ORDER BY id DESC) AS t
+  FROM comptages GROUP BY 1
+),
+texte_apres AS (
+  SELECT l.scenario_id,
+         string_agg(type_id || '=' || coalesce(CAST(valeur AS VARCHAR), 'null'), ';'
+           ORDER BY CASE WHEN id <= coalesce(top, 0) THEN -id ELSE id END) AS t
+  FROM apres l LEFT JOIN tetes h ON h.scenario_id = l.scenario_id GROUP BY 1
+)""",
+        select="SELECT scenario_id, a.t IS DISTINCT FROM b.t AS modifie "
+        "FROM texte_avant a FULL JOIN texte_apres b USING (scenario_id)",
+    ),
+    "param_entries": _with(
         SITES,
         PRODUCTS,
-        _neutralised("1-URGENT", "o_custkey", "generales"),
-        _neutralised("2-HIGH", "o_custkey", "pointes"),
-        _neutralised("3-MEDIUM", "o_custkey", "secondaires"),
-        """
-variations AS (
-  SELECT CAST(o_custkey AS VARCHAR) AS site_id, o_orderkey AS ordre, 'C' || o_orderkey AS categorie,
-         o_orderkey % 101 - 50 AS valeur
-  FROM orders WHERE o_orderpriority = '5-LOW'
+        *_PERIOD_LISTS,
+        _VARIATIONS,
+        f"""
+entrees AS (
+  SELECT site_id, 'periodesNeutralisees' AS liste, ordre, {_PERIOD_TEXT} AS texte FROM generales
+  UNION ALL SELECT site_id, 'neutralisationsPeak', ordre, {_PERIOD_TEXT} FROM pointes
+  UNION ALL SELECT site_id, 'neutralisationsSecondaires', ordre, {_PERIOD_TEXT} FROM secondaires
+  UNION ALL SELECT site_id, 'variationsTrafic', ordre, concat_ws(':', categorie, -50, 50, valeur)
+    FROM variations
+  UNION ALL SELECT site_id, 'produitsExclus', ordre, concat_ws(':', id, code, libelle, exclu)
+    FROM produits
+),
+placees AS (
+  SELECT CASE WHEN ordre % 50 = 0 THEN 'inconnu' WHEN ordre % 50 <> 1 THEN site_id END AS site_id,
+         liste, ordre, texte
+  FROM entrees
 )""",
+        select="SELECT p.site_id, liste, row_number() OVER "
+        "(PARTITION BY p.site_id, liste ORDER BY ordre) AS rang, libelle, texte "
+        "FROM placees p LEFT JOIN sites s ON s.site_id = p.site_id",
+    ),
+    "param_payload": _with(
+        SITES,
+        PRODUCTS,
+        *_PERIOD_LISTS,
+        _VARIATIONS,
         _listed("generales", "generales", _PERIOD_TEXT),
         _listed("pointes", "pointes", _PERIOD_TEXT),
         _listed("secondaires", "secondaires", _PERIOD_TEXT),
@@ -829,6 +917,23 @@ bornees AS (
        coalesce(v <> w, false) AS ajuste
 FROM bornees""",
     ),
+    "apply_period_edit_log": _with(
+        SCENARIOS,
+        _DEFAULTED,
+        """
+retouches AS (
+  SELECT o_orderkey AS scenario_id, seq, (o_orderkey // 2 + seq) % 2 = 0 AS sur_debut,
+         CAST(o_orderdate AS DATE)
+           + CAST((o_orderkey * 131 + seq * 977) % 9000 - 3000 AS INTEGER) AS v
+  FROM orders, range(1, 5) t(seq)
+  WHERE seq <= o_orderkey % 4 + 1 AND (o_orderkey + seq) % 7 <> 0
+),
+etape0 AS (
+  SELECT scenario_id, dateDebut AS a, dateFin AS f, false AS ajuste FROM parDefaut
+)""",
+        *[_edit_step(k) for k in range(1, 5)],
+        select="SELECT scenario_id, a AS dateDebut, f AS dateFin, ajuste FROM etape4",
+    ),
     "period_duration": _with(
         SCENARIOS,
         _DEFAULTED,

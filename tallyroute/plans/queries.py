@@ -198,11 +198,7 @@ def route_traffic(spark, sf):
 def route_fixed_grain(spark, sf):
     judged = requests.validate_mode_requests(inputs.raw_requests(spark, sf))
     segments = routing.build_segments(requests.valid(judged))
-    return routing.route_traffic(
-        segments,
-        inputs.marts(spark, sf),
-        keys_per_segment=routing.KEYS_PER_FIXED_SEGMENT,
-    )
+    return routing.route_traffic(segments, inputs.marts(spark, sf))
 
 
 @query
@@ -294,6 +290,12 @@ def open_days_total(spark, sf):
 
 @query
 def traffic_headers(spark, sf):
+    """Headers of the answers to typed requests."""
+    return traffic_answer(inputs.raw_requests(spark, sf), inputs.marts(spark, sf)).headers
+
+
+@query
+def traffic_headers_limited(spark, sf):
     """Headers of the answers to typed requests, five rows per grain at most."""
     return traffic_answer(inputs.raw_requests(spark, sf), inputs.marts(spark, sf), 5).headers
 
@@ -425,11 +427,43 @@ def detect_changes(spark, sf):
 
 
 @query
-def param_payload(spark, sf):
+def detect_changes_by_position(spark, sf):
+    """Changes of lists that are not in the order of their ids."""
+    before = inputs.positioned_counts(spark, sf)
+    after = inputs.edited_positioned_counts(spark, sf)
+    return edits.detect_changes(before, after, order="position")
+
+
+def _payload_lists(spark, sf):
     lists = inputs.payload_lists(spark, sf)
     for name in ("periodesNeutralisees", "neutralisationsPeak", "neutralisationsSecondaires"):
         lists[name] = edits.new_neutralised_periods(lists[name])
-    payload = params.param_payload(inputs.customer_sites(spark, sf), lists)
+    return lists
+
+
+@query
+def param_entries(spark, sf):
+    """All parameter entries in long form, some of an unknown site and some of none."""
+    site = (
+        F.when(F.col("ordre") % 50 == 0, "inconnu")
+        .when(F.col("ordre") % 50 == 1, F.lit(None))
+        .otherwise(F.col("site_id"))
+    )
+    lists = {n: df.withColumn("site_id", site) for n, df in _payload_lists(spark, sf).items()}
+    named = params.with_site(params.param_entries(lists), inputs.customer_sites(spark, sf))
+    texts = [
+        F.when(F.col("liste") == name, F.concat_ws(":", *[F.col(name)[f].cast("string") for f in fields]))
+        for name, fields in params.PAYLOAD_LISTS.items()
+    ]
+    return named.select(
+        "site_id", "liste", "rang", F.col("site.libelle").alias("libelle"), F.coalesce(*texts).alias("texte")
+    )
+
+
+@query
+def param_payload(spark, sf):
+    lists = _payload_lists(spark, sf)
+    payload = params.param_payload(inputs.customer_sites(spark, sf), lists, entries=10_000)
     return payload.select(
         "site_id",
         "partie",
@@ -464,6 +498,13 @@ def apply_period_edits(spark, sf):
     return periods.apply_period_edits(_periods(spark, sf), inputs.period_edits(spark, sf), *BOUNDS)
 
 
+@query
+def apply_period_edit_log(spark, sf):
+    """Several edits per scenario, each on what the last one left."""
+    log = inputs.period_edit_log(spark, sf)
+    return periods.apply_period_edits(_periods(spark, sf), log, *BOUNDS)
+
+
 @query
 def period_duration(spark, sf):
     return periods.period_duration(_periods(spark, sf))

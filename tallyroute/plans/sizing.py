@@ -1,19 +1,6 @@
-"""Checks that decide whether one side of a join may be broadcast."""
+"""The bound of what a join may broadcast."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 # Joined key rows one broadcast may hold: some 60 bytes each, so under 100 MB.
 MAX_BROADCAST_ROWS = 1_200_000
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether `df` has at most `max_rows` rows; never counts further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast when it is small; else left to the optimizer."""
-    return F.broadcast(df) if fits(df, max_rows) else df

@@ -90,6 +90,20 @@ def test_order_matters_for_changes_and_ids_do_not(spark):
     assert got == {1: False, 2: True, 3: True, 4: False, 5: True, 6: True}
 
 
+def test_changes_go_by_the_place_in_the_file(spark):
+    """A file lists id 5 before id 1; id 1 is removed and its like added again."""
+    counts = spark.createDataFrame(
+        [(1, 5, 1, 10, 1), (1, 1, 2, 20, 2)],
+        "scenario_id long, id int, type_id int, valeur long, position int",
+    )
+    log = spark.createDataFrame(
+        [(1, 1, "suppression", 1, None, None), (2, 1, "ajout", None, 2, 20)],
+        "seq long, scenario_id long, op string, id int, type_id int, valeur long",
+    )
+    after = edits.apply_count_edits(counts, log, edits.type_table(spark))
+    assert edits.detect_changes(counts, after, order="position").first().modifie is False
+
+
 def test_names_are_trimmed_and_blank_ones_refused(spark):
     rows = [(1, "s", "\t Plan A  "), (2, "s", "  \n"), (3, "s", None), (4, "s", "a b")]
     typed = spark.createDataFrame(rows, "seq long, site_id string, nom string")

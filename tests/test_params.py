@@ -26,7 +26,7 @@ def payload_inputs(spark, n):
 
 
 def test_payload_of_sites_with_and_without_parameters(spark):
-    rows = {r.site_id: r for r in params.param_payload(*payload_inputs(spark, 5)).collect()}
+    rows = {r.site_id: r for r in params.param_payload(*payload_inputs(spark, 5), entries=10).collect()}
     assert [e.id for e in rows["a"].periodesNeutralisees] == [1, 2, 3, 4, 5]
     assert rows["a"].neutralisationsPeak[0].motif == "x" and rows["a"].variationsTrafic == []
     assert rows["b"].site.libelle == "B" and rows["b"].partie == 0
@@ -41,6 +41,33 @@ def test_a_long_list_goes_on_in_further_records(spark):
     assert [len(r.neutralisationsPeak) for r in rows] == [1, 0, 0]
 
 
+def test_entries_of_unknown_sites_and_of_none_stay(spark):
+    sites, lists = payload_inputs(spark, 3)
+    day = date(2025, 1, 1)
+    more = [("x", 9, 9, day, day, None), (None, 7, 7, day, day, None), (None, 5, 5, day, day, None)]
+    lists["periodesNeutralisees"] = lists["periodesNeutralisees"].union(
+        spark.createDataFrame(more, PERIODS)
+    )
+    rows = {r.site_id: r for r in params.param_payload(sites, lists, entries=10).collect()}
+    assert set(rows) == {"a", "b", "x", None}
+    assert rows["x"].site is None and rows[None].site is None and rows["a"].site.libelle == "A"
+    assert [e.id for e in rows[None].periodesNeutralisees] == [5, 7]
+    long = params.param_entries(lists).filter("site_id IS NULL").collect()
+    assert sorted((r.liste, r.rang, r.periodesNeutralisees.id) for r in long) == [
+        ("periodesNeutralisees", 1, 5), ("periodesNeutralisees", 2, 7)
+    ]
+
+
+def test_endless_periods_are_not_listed_by_day(spark):
+    schema = "site_id string, dateDebut date, dateFin date"
+    endless = spark.createDataFrame([("a", date(1900, 1, 1), date(9999, 12, 31))], schema)
+    assert params.neutralised_spans(endless).count() == 8100
+    days = spark.createDataFrame(
+        [("a", "2025-01-01"), ("b", "2025-01-01")], "co_regate string, da_comptage string"
+    )
+    assert [r.co_regate for r in params.drop_neutralised_days(days, endless).collect()] == ["b"]
+
+
 def test_weekly_mean(spark):
     df = spark.createDataFrame([(12500,), (8900,), (22000,), (5400,)], "volumeBrut long")
     assert [r.traficMoyenHebdo for r in params.weekly_mean(df).collect()] == [1785, 1271, 3142, 771]

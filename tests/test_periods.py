@@ -83,12 +83,26 @@ def test_period_edits(spark):
         assert (r.dateDebut, r.dateFin, r.ajuste) == edited((a, b), side, text)
 
 
-def test_two_edits_of_one_scenario_fail(spark):
-    df = spark.createDataFrame([(1, date(2025, 1, 1), date(2025, 6, 1))], SCHEMA)
-    log = [(1, "debut", "2025-02-01"), (1, "fin", "2025-03-01")]
-    log = spark.createDataFrame(log, "scenario_id long, cote string, valeur string")
-    with pytest.raises(Exception, match="several edits of scenario 1"):
-        periods.apply_period_edits(df, log).collect()
+def test_each_edit_acts_on_what_the_last_one_left(spark):
+    rng = random.Random(4)
+    current, log, expected = [], [], {}
+    for i, day in enumerate(random_days(rng, 200)):
+        a = hold(day)
+        state, moved = (a, min(HIGH, a + timedelta(days=rng.randrange(731)))), False
+        current.append((i, *state))
+        for seq in range(rng.randrange(6)):
+            side = rng.choice(["debut", "fin"])
+            text = rng.choice([str(hold(a + timedelta(days=rng.randrange(-1500, 1500)))), "", "bientôt"])
+            log.append((i, seq, side, text))
+            *state, adjusted = edited(state, side, text)
+            moved = moved or adjusted
+        expected[i] = (*state, moved)
+    rng.shuffle(log)
+    schema = "scenario_id long, seq int, cote string, valeur string"
+    got = periods.apply_period_edits(
+        spark.createDataFrame(current, SCHEMA), spark.createDataFrame(log, schema)
+    )
+    assert {r.scenario_id: (r.dateDebut, r.dateFin, r.ajuste) for r in got.collect()} == expected
 
 
 @pytest.mark.parametrize(

@@ -154,13 +154,34 @@ def test_both_joins_agree(spark, sf_dir, broadcast):
 def test_large_request_tables_are_not_broadcast(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(routing, "MAX_BROADCAST_ROWS", 24)
     segments = routing.decompose_auto(inputs.requests(spark, sf_dir))
-    assert not routing.may_broadcast(segments, routing.KEYS_PER_AUTO_SEGMENT)
+    assert not routing.may_broadcast(segments)
     routed = routing.route_traffic(segments, inputs.marts(spark, sf_dir))
     plan = routed._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     assert routed.count() == 418
 
 
+def test_long_fixed_segments_are_counted_by_their_keys(spark, sf_dir):
+    row = "date'1996-01-01' + cast(id % 9 as int) AS seg_debut"
+    segments = spark.range(20_000).selectExpr(
+        "id AS request_id", "cast(id % 25 as string) AS co_regate", "'jours' AS periode", row
+    ).withColumn("seg_fin", F.date_add("seg_debut", 730))
+    assert not routing.may_broadcast(segments)
+    assert routing.may_broadcast(segments.limit(1_000))
+    assert routing.may_broadcast(segments.limit(0))
+    marts = inputs.marts(spark, sf_dir)
+    asked = segments.select("request_id", "co_regate")
+    for df in (
+        routing.route_traffic(segments, marts),
+        traffic.traffic_group_sum(segments, marts),
+        traffic.traffic_count_only(asked, segments, marts),
+        traffic.result_count(asked, segments, marts),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [co_regate" not in plan
+        assert "SortMergeJoin [co_regate" in plan
+
+
 def test_site_without_traffic_counts_zero(spark, sf_dir):
     asked = requests_frame(spark, [(date(1998, 1, 1), date(1998, 12, 31))], site="nowhere")
     segments = routing.decompose_auto(asked)
