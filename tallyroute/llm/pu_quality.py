@@ -29,20 +29,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroute.llm.common import (
-    SPACES,
     crc_class,
     fraction_for,
     in_sample,
     labels_of,
     let,
-    without,
     words,
 )
 
 SAMPLE = 12_000
 STEPS = 400
 MODULUS, HELD_OUT = 3, 1
-SYMBOLS = "#*$%&<>"
+SYMBOLS = "[#*$%&<>]"
+BLANK = r"[\x20\x09-\x0D]"
 STATISTICS = (
     "length", "word_length", "symbols", "bars", "shouts", "capitals", "digits", "distinct",
     "repeats", "lines",
@@ -57,20 +56,17 @@ def _share(part: Column, whole: Column) -> Column:
 def statistics(text: Column) -> Column:
     """Array of the statistics of a text, in the order of `STATISTICS`."""
 
-    def of(t: Column, w: Column) -> Column:
+    def of(t: Column, w: Column, bare: Column, lines: Column) -> Column:
         n = F.size(w)
-        bare = F.length(without(t, SPACES))
-        lines = F.filter(F.split(t, "\n"), lambda s: F.length(F.trim(s)) > 0)
         # Words equal to the one before; compared as whole arrays shifted by one.
-        again = F.size(
-            F.filter(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(n, F.lit(1))).alias("b")), lambda p: p["a"] == p["b"])
-        )
+        pairs = F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(n, F.lit(1))).alias("b"))
+        again = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
         return F.array(
             F.log1p(n.cast("double")),
             F.log1p(bare / F.greatest(n, F.lit(1))),
-            _share(bare - F.length(without(without(t, SPACES), SYMBOLS)), bare),
-            _share(F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit(""))), bare),
-            _share(F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))), bare),
+            _share(F.regexp_count(t, F.lit(SYMBOLS)), bare),
+            _share(F.regexp_count(t, F.lit("[|]")), bare),
+            _share(F.regexp_count(t, F.lit("!")), bare),
             _share(F.regexp_count(t, F.lit("[A-Z]")), bare),
             _share(F.regexp_count(t, F.lit("[0-9]")), bare),
             F.size(F.array_distinct(w)) / F.greatest(n, F.lit(1)),
@@ -78,7 +74,14 @@ def statistics(text: Column) -> Column:
             F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
         )
 
-    return let(F.coalesce(text, F.lit("")), lambda t: let(words(t), lambda w: of(t, w)))
+    def measured(t: Column) -> Column:
+        bare = F.length(t) - F.regexp_count(t, F.lit(BLANK))
+        lines = F.filter(F.split(t, "\n"), lambda s: F.length(F.trim(s)) > 0)
+        return let(
+            words(t), lambda w: let(bare, lambda b: let(lines, lambda rows: of(t, w, b, rows)))
+        )
+
+    return let(F.coalesce(text, F.lit("")), measured)
 
 
 @dataclass
