@@ -12,8 +12,10 @@ toxic. Those words are found by comparing document frequencies between the class
 about `SAMPLE` labelled training rows, chosen by a hash of the id; at most `MAX_WORDS` enter the
 model, which is broadcast.
 
-Only pieces of text that could hide a word are decoded: letters around figures or signs,
-letters said three times, runs of single letters. Other pieces are their own only reading.
+Every piece of text that could hide a word is decoded: with a figure or sign of `LEET` anywhere in
+it, with letters around other signs, with letters said three times, and runs of single letters.
+Signs at the end of a piece may belong to the word or to the sentence, so each ending is decoded of
+its own. Other pieces are their own only reading.
 
 Null texts count as empty; an empty text has no word and scores by the bias alone. A null id is
 never held out and never a training row. Contradicting labels of one id drop out. Without labels
@@ -28,6 +30,7 @@ import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -51,14 +54,20 @@ LEET = {
 #: Signs that may stand between the letters of a word for nothing.
 FILLERS = ".-_*~^'`:,/"
 LOG_PLAIN, LOG_LEET, LOG_DROP, LOG_ONCE = 0.0, -0.5, -3.0, -0.1
-SINGLES = frozenset(LETTERS) | frozenset("013457@$")
 MARKS = string.punctuation + "¡¿…«»“”„–—"
-
-_DISGUISE = re.compile(r"[a-z][0-9@$!|+(€.\-_*~^'`:,/]+[a-z]|[0-9@$!|+(€][a-z]|[a-z][0-9$@]|([a-z])\1\1")
-#: Several signs at the end of a piece end a sentence; they spell nothing.
-_TAIL = re.compile(r"[^\w\s]{2,}\Z|[.,:;!?\"')]\Z")
+#: Marks that spell nothing at either end of a piece.
+STOPS = "".join(sorted(set(MARKS) - LEET.keys())) + " "
+ENDS = STOPS + "".join(LEET)
+#: So many signs at the end of a piece are read one by one; of longer runs, all together as well.
+ENDINGS = 6
+#: Learnt words have at least so many letters.
+MIN_LETTERS = 3
+
+_DISGUISE = re.compile(r"[0-9@$!|+(€]|[a-z][.\-_*~^'`:,/]+[a-z]|([a-z])\1\1")
 _PLAIN = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][\x20.\-_*,]{1,2}){3,}[^\W_](?![^\W_])")
+_SPACED = re.compile(
+    r"(?<![^\W_])(?:(?:[^\W_]|[@$!|+(€])[\x20.\-_*,]{1,2}){2,}(?:[^\W_]|[@$!|+(€])(?![^\W_])"
+)
 
 
 def _symbols() -> np.ndarray:
@@ -148,18 +157,39 @@ def lattice(piece: str) -> list[Slot]:
     return slots
 
 
+def endings(piece: str) -> list[list[Slot]]:
+    """Lattices of a piece with none, one, ... of the signs at its end spelling letters."""
+    piece = piece.strip(STOPS)
+    body = piece.rstrip(ENDS)
+    slots = lattice(body)
+    out = [slots]
+    for sign, run in groupby(piece[len(body) :]):
+        if sign in LEET:
+            way = tuple((LETTERS.index(x), LOG_LEET) for x in LEET[sign])
+            for _ in range(min(len(list(run)), 2)):
+                slots = [*slots, way]
+                out.append(slots)
+    out = out[: ENDINGS + 1] + out[max(ENDINGS + 1, len(out) - 1) :]
+    return [slots for slots in out if len(slots) >= MIN_LETTERS]
+
+
 WAYS = 4
 STATES = SIZE * SIZE
+#: Places decoded at once, by the size of their back pointers.
+PLACES = 1 << 15
 
 
 def decode(lattices: list[list[Slot]], model: np.ndarray) -> list[str]:
     """Most likely reading of each lattice; the state is the pair of the last two symbols."""
     out = [""] * len(lattices)
     order = sorted(range(len(lattices)), key=lambda i: len(lattices[i]))
-    for at in range(0, len(order), 128):
-        part = order[at : at + 128]
+    end = len(order)
+    while end:
+        at = max(0, end - min(128, max(1, PLACES // max(1, len(lattices[order[end - 1]])))))
+        part = order[at:end]
         for i, text in zip(part, _decode_part([lattices[i] for i in part], model)):
             out[i] = text
+        end = at
     return out
 
 
@@ -218,8 +248,9 @@ def _decode_part(lattices: list[list[Slot]], model: np.ndarray) -> list[str]:
 def readings(text: str) -> tuple[set[str], list[str]]:
     """Plain words of a lower-case text, and the pieces that may hide a word.
 
-    A piece is plain if it has only letters between the marks at its ends and none three times in
-    a row. Single letters are read together where at least three different ones occur.
+    A piece is plain if it has only letters between marks that spell nothing and none three times
+    in a row. Three and more single letters in a row are read together, with the first one and
+    without it, for it may be a word.
     """
     plain = set(text.split())
     marked = [piece for piece in plain if not piece.isalpha()]
@@ -230,13 +261,11 @@ def readings(text: str) -> tuple[set[str], list[str]]:
     for piece in marked:
         word = piece.strip(MARKS)
         plain.add(word)
-        if word.isalpha() and not triple and piece[0] not in "@$!|+(":
-            continue
-        whole = _TAIL.sub("", piece)
+        whole = piece.strip(STOPS)
         if _DISGUISE.search(whole):
             hidden.append(whole)
-    if len(plain & SINGLES) >= 3:
-        hidden += [m.group() for m in _SPACED.finditer(text)]
+    for run in _SPACED.findall(text):
+        hidden += [run, run[1:].lstrip(STOPS)]
     return plain, hidden
 
 
@@ -251,15 +280,11 @@ class Restorer:
         if len(self.known) > self.limit:
             self.known = {}
         new = sorted({p for ps in pieces for p in ps} - self.known.keys())
-        short = [_squeezed(p) for p in new]
-        for piece, word in zip(new, decode([lattice(p) for p in short], self.model)):
-            self.known[piece] = word
-        return [{self.known[p] for p in ps} for ps in pieces]
-
-
-def _squeezed(piece: str) -> str:
-    """The piece without marks at its ends that stand for nothing."""
-    return piece.strip("".join(set(MARKS) - set("@$!|+(")) + " ").rstrip("!|+(")
+        asked = [(piece, slots) for piece in new for slots in endings(piece)]
+        self.known.update((piece, set()) for piece in new)
+        for (piece, _), word in zip(asked, decode([slots for _, slots in asked], self.model)):
+            self.known[piece].add(word)
+        return [{word for p in ps for word in self.known[p]} for ps in pieces]
 
 
 @dataclass
@@ -268,13 +293,17 @@ class Model:
     bias: float
     characters: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.lengths = sorted({len(w) for w in self.weights if len(w) > 3})
+
     def hits(self, words: set[str], read: set[str]) -> set[str]:
         found = words & self.weights.keys()
         for text in read:
             if text in self.weights:
                 found.add(text)
             elif len(text) > 4:  # words run together
-                found |= {w for w in self.weights if len(w) > 3 and w in text}
+                parts = {text[i : i + n] for n in self.lengths for i in range(len(text) - n + 1)}
+                found |= parts & self.weights.keys()
         return found
 
     def score(self, hits: set[str]) -> float:
@@ -297,7 +326,7 @@ def toxic_words(rows: DataFrame, keep: int = MAX_WORDS) -> dict[str, float]:
             words, label = [], []
             for text, y in zip(batch["text"], batch["label"]):
                 found = readings(text.lower())[0] if isinstance(text, str) else set()
-                found = [w for w in found if _PLAIN.fullmatch(w) and 2 < len(w) < 40]
+                found = [w for w in found if _PLAIN.fullmatch(w) and MIN_LETTERS <= len(w) < 40]
                 words += found
                 label += [y] * len(found)
             yield pd.DataFrame({"word": words, "label": label})

@@ -258,6 +258,18 @@ def test_disguises_are_undone():
     assert hits == [{"idiot"}, {"moron"}, {"stupid"}, {"loser"}, {"trash"}, set(), set(), set()]
 
 
+def test_disguises_at_the_end_and_short_spaced_words():
+    names = ["idiot", "worthless", "boob", "bum", "ass", "moron"]
+    model = toxicity.language_model(np.zeros((toxicity.SIZE,) * 3), dict.fromkeys(names, 1.0))
+    judge = toxicity.Model(dict.fromkeys(names, 5.0), -2.0, model)
+    import pandas as pd
+
+    texts = ["worthle$$", "w0rthle$$!!", "so idio+", "1d10+.", "b o o b", "a b u m", "b.u.m", "a$$", "moron!!", "m0ron(", "1d10t99999999", "over 2024!"]
+    hits = toxicity._hits_of(pd.Series(texts), judge)
+    assert hits[:6] == [{"worthless"}, {"worthless"}, {"idiot"}, {"idiot"}, {"boob"}, {"bum"}]
+    assert hits[6:] == [{"bum"}, {"ass"}, {"moron"}, {"moron"}, {"idiot"}, set()]
+
+
 def test_viterbi_equals_enumeration():
     rng = np.random.default_rng(6)
     model = np.log(rng.dirichlet(np.ones(toxicity.SIZE), (toxicity.SIZE, toxicity.SIZE)))
