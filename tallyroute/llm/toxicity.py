@@ -14,6 +14,7 @@ model, which is broadcast.
 
 Every piece of text that could hide a word is decoded: with a figure or sign of `LEET` anywhere in
 it, with letters around other signs, with letters said three times, and runs of single letters.
+Restored text has no accents, so it is looked up among the learnt words without theirs.
 Signs at the end of a piece may belong to the word or to the sentence, so each ending is decoded of
 its own. Other pieces are their own only reading.
 
@@ -63,7 +64,7 @@ ENDINGS = 6
 #: Learnt words have at least so many letters.
 MIN_LETTERS = 3
 
-_DISGUISE = re.compile(r"[0-9@$!|+(€]|[a-z][.\-_*~^'`:,/]+[a-z]|([a-z])\1\1")
+_DISGUISE = re.compile(r"[0-9@$!|+(€]|[^\W\d_][.\-_*~^'`:,/]+[^\W\d_]|([^\W\d_])\1\1")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(
     r"(?<![^\W_])(?:(?:[^\W_]|[@$!|+(€])[\x20.\-_*,]{1,2}){2,}(?:[^\W_]|[@$!|+(€])(?![^\W_])"
@@ -87,6 +88,12 @@ def _symbols() -> np.ndarray:
 SYMBOLS = _symbols()
 
 
+def folded(word: str) -> str:
+    """The word as `decode` would write it: letters without their accents, others as they are."""
+    at = [int(SYMBOLS[min(ord(c), 0x24F)]) for c in word]
+    return "".join(LETTERS[s] if s < 26 else c for s, c in zip(at, word))
+
+
 def symbols_of(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     return SYMBOLS[np.minimum(codes, 0x24F)]
@@ -127,7 +134,9 @@ def language_model(corpus: np.ndarray, words: dict[str, float], share: float = 0
     return np.log((1 - share) * smoothed(corpus) + share * smoothed(own))
 
 
-Slot = tuple[tuple[int, float], ...]  # readings of one place: (symbol or -1 for nothing, log weight)
+#: Readings of one place: (symbol or -1 for nothing, log weight); from SIZE on, SIZE and the code of a
+#: letter that is none of a-z, which the model takes as OTHER.
+Slot = tuple[tuple[int, float], ...]
 
 
 def lattice(piece: str) -> list[Slot]:
@@ -141,7 +150,8 @@ def lattice(piece: str) -> list[Slot]:
             run += 1
         i += run
         symbol = int(SYMBOLS[min(ord(c), 0x24F)])
-        if symbol < 26:
+        if symbol < 26 or c.isalpha():
+            symbol = symbol if symbol < 26 else SIZE + ord(c)
             slots.append(((symbol, LOG_PLAIN),))
             if run == 2:
                 slots.append(((symbol, LOG_PLAIN),))
@@ -181,28 +191,42 @@ PLACES = 1 << 15
 
 def decode(lattices: list[list[Slot]], model: np.ndarray) -> list[str]:
     """Most likely reading of each lattice; the state is the pair of the last two symbols."""
-    out = [""] * len(lattices)
-    order = sorted(range(len(lattices)), key=lambda i: len(lattices[i]))
+    # Up to the first choice there is one path: decoding starts behind it.
+    out, rests, pairs = [], [], []
+    for slots in lattices:
+        lead = 0
+        while lead < len(slots) and len(slots[lead]) == 1 and slots[lead][0][0] >= 0:
+            lead += 1
+        said = [slots[t][0][0] for t in range(lead)]
+        out.append("".join(map(_letter, said)))
+        rests.append(slots[lead:])
+        pairs.append([min(s, OTHER) for s in [EDGE, EDGE, *said][-2:]])
+    order = sorted((i for i, rest in enumerate(rests) if rest), key=lambda i: len(rests[i]))
     end = len(order)
     while end:
-        at = max(0, end - min(128, max(1, PLACES // max(1, len(lattices[order[end - 1]])))))
+        at = max(0, end - min(128, max(1, PLACES // len(rests[order[end - 1]]))))
         part = order[at:end]
-        for i, text in zip(part, _decode_part([lattices[i] for i in part], model)):
-            out[i] = text
+        texts = _decode_part([rests[i] for i in part], [pairs[i] for i in part], model)
+        for i, text in zip(part, texts):
+            out[i] += text
         end = at
     return out
 
 
-def _decode_part(lattices: list[list[Slot]], model: np.ndarray) -> list[str]:
+def _letter(symbol: int) -> str:
+    return LETTERS[symbol] if symbol < 26 else chr(symbol - SIZE) if symbol >= SIZE else "?"
+
+
+def _decode_part(lattices: list[list[Slot]], pairs: list[list[int]], model: np.ndarray) -> list[str]:
     n, most = len(lattices), max(map(len, lattices), default=0)
     symbol = np.full((n, most, WAYS), -2)
     weight = np.full((n, most, WAYS), -np.inf)
     for i, slots in enumerate(lattices):
         for t, slot in enumerate(slots):
             for w, (s, p) in enumerate(slot):
-                symbol[i, t, w], weight[i, t, w] = s, p
+                symbol[i, t, w], weight[i, t, w] = min(s, OTHER), p
     best = np.full((n, SIZE, SIZE), -np.inf)
-    best[:, EDGE, EDGE] = 0
+    best[np.arange(n), *np.transpose(pairs)] = 0
     back = np.full((n, most, SIZE, SIZE), -1, np.int16)  # way * SIZE + symbol before the pair
     rows = np.arange(n)
     for t in range(most):
@@ -239,7 +263,7 @@ def _decode_part(lattices: list[list[Slot]], model: np.ndarray) -> list[str]:
         for t in range(len(slots) - 1, -1, -1):
             way, before = divmod(int(back[i, t, a, b]), SIZE)
             if way >= 0 and slots[t][way][0] >= 0:
-                letters.append(LETTERS[b] if b < 26 else "?")
+                letters.append(_letter(slots[t][way][0]))
                 a, b = before, a
         texts.append("".join(reversed(letters)))
     return texts
@@ -255,7 +279,8 @@ def readings(text: str) -> tuple[set[str], list[str]]:
     plain = set(text.split())
     marked = [piece for piece in plain if not piece.isalpha()]
     hidden = []
-    triple = [c * 3 for c in LETTERS if c * 3 in text]
+    letters = LETTERS if text.isascii() else {c for c in set(text) if c.isalpha()}
+    triple = [c * 3 for c in letters if c * 3 in text]
     if triple:
         hidden = [p for p in plain if p.isalpha() and any(t in p for t in triple)]
     for piece in marked:
@@ -294,16 +319,19 @@ class Model:
     characters: np.ndarray
 
     def __post_init__(self) -> None:
-        self.lengths = sorted({len(w) for w in self.weights if len(w) > 3})
+        # Restored text has no accents: the word it may be, of those alike the weightiest.
+        order = sorted(self.weights, key=lambda w: (self.weights[w], w))
+        self.folded = {folded(w): w for w in order}
+        self.lengths = sorted({len(w) for w in self.folded if len(w) > 3})
 
     def hits(self, words: set[str], read: set[str]) -> set[str]:
         found = words & self.weights.keys()
         for text in read:
-            if text in self.weights:
-                found.add(text)
+            if text in self.folded:
+                found.add(self.folded[text])
             elif len(text) > 4:  # words run together
                 parts = {text[i : i + n] for n in self.lengths for i in range(len(text) - n + 1)}
-                found |= parts & self.weights.keys()
+                found.update(self.folded[part] for part in parts & self.folded.keys())
         return found
 
     def score(self, hits: set[str]) -> float:

@@ -270,6 +270,18 @@ def test_disguises_at_the_end_and_short_spaced_words():
     assert hits[6:] == [{"bum"}, {"ass"}, {"moron"}, {"moron"}, {"idiot"}, set()]
 
 
+def test_disguised_words_with_accents():
+    names = ["réêou", "achlichü", "große", "дурак", "reeou"]
+    model = toxicity.language_model(np.zeros((toxicity.SIZE,) * 3), dict.fromkeys(names, 1.0))
+    judge = toxicity.Model({**dict.fromkeys(names, 5.0), "reeou": 1.0}, -2.0, model)
+    import pandas as pd
+
+    texts = ["r3êou", "r é ê o u", "achl1chü!", "gr0ße", "große", "reeou", "ддд.у.р.а.к", "досок.1", "ré.êou", "rrrréêou"]
+    hits = toxicity._hits_of(pd.Series(texts), judge)
+    assert hits[:6] == [{"réêou"}, {"réêou"}, {"achlichü"}, {"große"}, {"große"}, {"reeou"}]
+    assert hits[6:] == [{"дурак"}, set(), {"réêou"}, {"réêou"}]
+
+
 def test_viterbi_equals_enumeration():
     rng = np.random.default_rng(6)
     model = np.log(rng.dirichlet(np.ones(toxicity.SIZE), (toxicity.SIZE, toxicity.SIZE)))
