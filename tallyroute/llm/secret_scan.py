@@ -1,17 +1,18 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Every text is scanned once. The value of each candidate is hashed (letter case aside), and the
-hashes are counted over the whole corpus: in how many documents (`n_repositories`) and under how
-many sources (`n_owners`; a document's `source` stands for its owner, a document for a
-repository) a value occurs. A value that more than `MAX_OWNERS` owners hold is a widely copied
-example; a value of one owner looks live.
+hashes are counted over the whole corpus: in how many repositories (`n_repositories`) and under
+how many sources (`n_owners`; a document's `source` stands for its owner, documents of equal or
+near-equal text, as `bktree` links them, for one repository) a value occurs. A value of more than
+`MAX_OWNERS` owners or more than `MAX_REPOSITORIES` repositories is a widely copied example, under
+one owner too; any other looks live.
 
 Base spans are always reported. The method adds spans of further forms, namely values assigned
 to other credential names, tokens with a known issuer's prefix and private key blocks, if their
 value looks live and they touch no base span.
 
-Counting is two partial aggregations (hash and owner, then hash), so a value that stands in a
-third of all documents is summed where it is read. Null texts count as empty, a null source is
+Counting is partial aggregations (hash with owner or repository, then hash), so a value that stands
+in a third of all documents is summed where it is read. Null texts count as empty, a null source is
 one owner; rows are told apart by a row number, so repeated or null ids do no harm.
 """
 
@@ -28,9 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyroute.llm.bktree import classes, simhash
 from tallyroute.llm.common import fresh, stored, with_row
 
 MAX_OWNERS = 1
+MAX_REPOSITORIES = 20
 MASK = "[SECRET]"
 # Forms of secrets and the least length of each.
 ASSIGN = re.compile(
@@ -59,7 +62,7 @@ MIN_ENTROPY = 3.0
 Span = tuple[int, int, int, int, int]  # kind, start, end, start and end of the value
 
 RESULT = (
-    "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, "
+    "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, fp bigint, "
     "spans array<struct<kind:int,start:int,end:int,value_start:int,value_end:int,hash:bigint>>"
 )
 
@@ -123,12 +126,12 @@ def _scan(text: str) -> tuple:
         (*s, xxhash.xxh64_intdigest(text[s[3] : s[4]].lower()) - (1 << 63)) for s in every
     ]
     digest = hashlib.sha256(joined(base).encode()).hexdigest()
-    return counts[0], counts[1], counts[2], digest, rows
+    return counts[0], counts[1], counts[2], digest, simhash(text) if rows else 0, rows
 
 
 def scanned(text: Column) -> Column:
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+        names = ["n_assign", "n_access", "n_hex", "base_sha256", "fp", "spans"]
         for batch in batches:
             rows = [_scan(t if isinstance(t, str) else "") for t in batch]
             yield pd.DataFrame(rows, columns=names)
@@ -136,15 +139,15 @@ def scanned(text: Column) -> Column:
     return F.pandas_udf(scan, RESULT)(text)
 
 
-def ownership(candidates: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(hash, n_repositories, n_owners, live) from rows (row, owner, hash)."""
-    return (
-        candidates.groupBy("hash", "owner")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("hash")
-        .agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
-        .withColumn("live", F.col("n_owners") <= max_owners)
-    )
+def ownership(
+    candidates: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES
+) -> DataFrame:
+    """(hash, n_repositories, n_owners, live) from rows (owner, repository, hash)."""
+    few = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
+    owners = candidates.select("hash", "owner").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"))
+    repositories = candidates.select("hash", "repository").distinct()
+    repositories = repositories.groupBy("hash").agg(F.count(F.lit(1)).alias("n_repositories"))
+    return repositories.join(owners, "hash").withColumn("live", few)
 
 
 def judged(docs: DataFrame, row: str) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +160,10 @@ def judged(docs: DataFrame, row: str) -> tuple[DataFrame, DataFrame]:
     )
     once = F.array_distinct(F.transform("spans", lambda s: s["hash"]))
     seen = scan.filter(F.size("spans") > 0)
-    known = stored(ownership(seen.select("row", "owner", F.explode(once).alias("hash"))), "owners")
+    linked = classes(seen.select("row", "doc_id", "fp"), "doc_id", "fp")
+    linked = stored(linked.select("fp", F.col("component").alias("repository")), "repositories")
+    held = seen.select("owner", "fp", F.explode(once).alias("hash")).distinct().join(linked, "fp")
+    known = stored(ownership(held), "owners")
     spans = seen.select("row", F.explode("spans").alias("s")).select("row", "s.*")
     return scan, spans.join(known, "hash")
 
@@ -184,7 +190,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
         F.count_if(~F.col("live")).alias("n_copied"),
     )
     return (
-        scan.drop("spans")
+        scan.drop("spans", "fp")
         .join(per_row, "row", "left")
         .select(
             "doc_id",

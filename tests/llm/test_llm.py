@@ -440,3 +440,18 @@ def test_pipeline(spark, sf_dir, docs):
     for name, stage in corpus_pipeline.STAGES:
         wide = stage(spark, wide, sf_dir)
     assert wide.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_examples_of_one_owner(spark):
+    example, live = "Zx9Qw8Er7Ty6Ui5Op4", "Mn2Bv3Cx4Zl5Kj6Hg7"
+    said = " ".join(f"v{i}" for i in range(60))
+    rng = np.random.default_rng(3)
+    many = secret_scan.MAX_REPOSITORIES + 5
+    rows = [
+        (i, " ".join(f"w{n}" for n in rng.integers(0, 10**6, 60)) + f" bearer {example}", "", "s1", 0)
+        for i in range(many)
+    ]
+    rows += [(1000 + i, f"{said} bearer {live}", "", "s2", 0) for i in range(many)]
+    out = {r.doc_id: r for r in secret_scan.secret_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (out[0].n_live, out[0].spans) == (0, "")
+    assert out[1000].n_live == 1 and out[1000].n_copied == 0
