@@ -13,6 +13,7 @@ from tallyroute.llm import (
     bpe,
     curves,
     decision_list,
+    lexical_search,
     pii,
     pu_quality,
     secret_scan,
@@ -71,6 +72,10 @@ def op10_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_trees": op1_url_trees,
     "op2_decision_list": op2_decision_list,
@@ -82,4 +87,5 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
     "op10_balance": op10_balance,
+    "op11_lexical_search": op11_lexical_search,
 }
