@@ -17,6 +17,7 @@ from tallyroute.llm import (
     pii,
     pu_quality,
     secret_scan,
+    spelling,
     toxicity,
     url_trees,
 )
@@ -76,6 +77,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_trees": op1_url_trees,
     "op2_decision_list": op2_decision_list,
@@ -88,4 +93,5 @@ QUERIES: dict[str, Query] = {
     "op9_bpe": op9_bpe,
     "op10_balance": op10_balance,
     "op11_lexical_search": op11_lexical_search,
+    "op13_spelling": op13_spelling,
 }
