@@ -16,6 +16,7 @@ from tallyroute.llm import (
     lexical_search,
     pii,
     pu_quality,
+    recurrent_lm,
     secret_scan,
     spelling,
     toxicity,
@@ -77,6 +78,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -93,5 +98,6 @@ QUERIES: dict[str, Query] = {
     "op9_bpe": op9_bpe,
     "op10_balance": op10_balance,
     "op11_lexical_search": op11_lexical_search,
+    "op12_recurrent_lm": op12_recurrent_lm,
     "op13_spelling": op13_spelling,
 }
