@@ -37,6 +37,7 @@ HEADLINE = [
     "paginate_result",
     "concat_grains",
     "multi_range_filter",
+    "multi_range_filter_batched",
     "validate_requests",
     "decompose_auto",
     "open_days_by_week",

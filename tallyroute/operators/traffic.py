@@ -25,6 +25,7 @@ from tallyroute.operators.routing import (
     may_broadcast,
     segment_keys,
 )
+from tallyroute.plans.sizing import MAX_BROADCAST_ROWS
 from tallyroute.sources.marts import PARTITION, public_columns
 
 
@@ -49,6 +50,70 @@ def multi_range_filter(
     return site_filter(table, site).filter(inside)
 
 
+def merged_ranges(ranges: DataFrame) -> DataFrame:
+    """Each (request_id, co_regate)'s inclusive key ranges merged where they overlap.
+
+    A null cle_debut or cle_fin is an open end. Ranges that touch without overlapping stay apart;
+    a reversed range (start after end) holds no key and is dropped. Gaps and islands: a range
+    opens a new island when it starts after every end seen before it in start order.
+    """
+    low, high = F.lit(""), F.lit("\uffff")
+    start = F.coalesce("cle_debut", low)
+    end = F.coalesce("cle_fin", high)
+    valid = ranges.select("request_id", "co_regate", start.alias("a"), end.alias("b")).filter("a <= b")
+    group = Window.partitionBy("request_id", "co_regate")
+    ordered = group.orderBy("a", "b")
+    seen = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    islands = (
+        valid.withColumn("_reach", F.max("b").over(seen))
+        .withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("a") > F.col("_reach")), 1).otherwise(0))
+        .withColumn("_island", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    return islands.groupBy("request_id", "co_regate", "_island").agg(
+        F.min("a").alias("cle_debut"), F.max("b").alias("cle_fin")
+    ).drop("_island")
+
+
+def ranges_filter(table: DataFrame, grain: Grain, ranges: DataFrame) -> DataFrame:
+    """Rows of the table under any range of each request, once per request: request_id first.
+
+    `ranges` holds (request_id, co_regate, cle_debut, cle_fin), inclusive, null for an open end,
+    many sites and requests at once. An interval join: the ranges of a request and site are merged,
+    cut at the years their keys begin with (open ends at the years the table holds) and joined on
+    (site, year) with the range as residual condition, so no nested loop is planned and the join
+    on the storage year prunes partitions. The cut ranges are broadcast under the size bound,
+    else both sides are shuffled on (site, year).
+    """
+    merged = merged_ranges(ranges)
+    years = table.agg(F.min(PARTITION).alias("lo"), F.max(PARTITION).alias("hi")).first()
+    if years["lo"] is None:
+        return table.limit(0).select(F.lit(None).cast("long").alias("request_id"), *public_columns(table).columns)
+    first = F.when(F.col("cle_debut") == "", F.lit(years["lo"])).otherwise(
+        F.substring("cle_debut", 1, 4).cast("int")
+    )
+    last = F.when(F.col("cle_fin") == "\uffff", F.lit(years["hi"])).otherwise(
+        F.substring("cle_fin", 1, 4).cast("int")
+    )
+    bins = merged.select(
+        "request_id",
+        F.col("co_regate").alias("_site"),
+        F.col("cle_debut").alias("_a"),
+        F.col("cle_fin").alias("_b"),
+        F.explode(
+            F.sequence(F.greatest(first, F.lit(years["lo"])), F.least(last, F.lit(years["hi"])))
+        ).alias("_year"),
+    ).filter(F.col("_year").isNotNull())
+    n_bins = bins.count()
+    side = F.broadcast(bins) if n_bins <= MAX_BROADCAST_ROWS else bins
+    on = (
+        (F.col("co_regate") == F.col("_site"))
+        & (F.col(PARTITION) == F.col("_year"))
+        & F.col(grain.key).between(F.col("_a"), F.col("_b"))
+    )
+    joined = table.join(side, on)
+    return joined.select("request_id", *public_columns(table).columns)
+
+
 def level_filter(table: DataFrame, level: str = SITE_LEVEL) -> DataFrame:
     return table.filter(F.col("co_niveau_regroupement_operationnel") == level)
 

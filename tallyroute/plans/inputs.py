@@ -46,6 +46,25 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def range_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many ranges of day keys per request over many sites: overlapping, open and reversed ones.
+
+    Each supplier gives one range of request s_suppkey % 97 at its nation's site; every 13th has
+    no start, every 17th no end, every 19th is reversed.
+    """
+    key = F.col("s_suppkey")
+    first = F.date_add(F.lit("1996-01-01").cast("date"), F.pmod(key * 37, F.lit(1500)).cast("int"))
+    last = F.date_add(first, F.pmod(key * 53, F.lit(200)).cast("int"))
+    start, end = F.date_format(first, "yyyy-MM-dd"), F.date_format(last, "yyyy-MM-dd")
+    reversed_ = F.pmod(key, F.lit(19)) == 0
+    return table(spark, sf_dir, "supplier").select(
+        F.pmod(key, F.lit(97)).cast("long").alias("request_id"),
+        F.col("s_nationkey").cast("string").alias("co_regate"),
+        F.when(F.pmod(key, F.lit(13)) == 0, None).when(reversed_, end).otherwise(start).alias("cle_debut"),
+        F.when(F.pmod(key, F.lit(17)) == 0, None).when(reversed_, start).otherwise(end).alias("cle_fin"),
+    )
+
+
 def _typed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per supplier as text, in the shapes users type, right and wrong.
 

@@ -18,6 +18,8 @@ DIMS = (
     "co_objet, lb_objet, co_type_objet, lb_type_objet"
 )
 
+DIMS_J = ", ".join(f"j.{d.strip()}" for d in DIMS.split(","))
+
 MARTS = f"""
 livre AS (
   SELECT s_nationkey AS n, l_partkey % 12 AS c, CAST(l_shipdate AS DATE) AS jour,
@@ -504,6 +506,28 @@ ORACLE_SQL: dict[str, str] = {
             "OR da_comptage BETWEEN '2000-01-01' AND '2000-12-31')"
         ),
     ),
+    "multi_range_filter_batched": _with(
+        MARTS,
+        """
+plages AS (
+  SELECT s_suppkey % 97 AS request_id, CAST(s_nationkey AS VARCHAR) AS co_regate,
+         strftime(DATE '1996-01-01' + CAST(s_suppkey * 37 % 1500 AS INTEGER), '%Y-%m-%d') AS a,
+         strftime(DATE '1996-01-01' + CAST(s_suppkey * 37 % 1500 + s_suppkey * 53 % 200 AS INTEGER),
+                  '%Y-%m-%d') AS b,
+         s_suppkey % 13 = 0 AS sans_debut, s_suppkey % 17 = 0 AS sans_fin, s_suppkey % 19 = 0 AS inverse
+  FROM supplier
+),
+bornes AS (
+  SELECT request_id, co_regate,
+         CASE WHEN sans_debut THEN NULL WHEN inverse THEN b ELSE a END AS cle_debut,
+         CASE WHEN sans_fin THEN NULL WHEN inverse THEN a ELSE b END AS cle_fin
+  FROM plages
+)""",
+        select=f"SELECT DISTINCT CAST(r.request_id AS BIGINT) AS request_id, {DIMS_J}, j.da_comptage, "
+        "j.trafic_reel FROM jours j JOIN bornes r ON j.co_regate = r.co_regate "
+        "AND (r.cle_debut IS NULL OR j.da_comptage >= r.cle_debut) "
+        "AND (r.cle_fin IS NULL OR j.da_comptage <= r.cle_fin)",
+    ),
     "project_all": _with(MARTS, select="SELECT * FROM semaines"),
     "level_filter": _with(
         MARTS, select="SELECT * FROM jours WHERE co_niveau_regroupement_operationnel = 'SITE'"

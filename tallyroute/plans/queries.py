@@ -113,6 +113,12 @@ def multi_range_filter(spark, sf):
     return public_columns(traffic.multi_range_filter(days, JOURS, "12", ranges))
 
 
+@query
+def multi_range_filter_batched(spark, sf):
+    days = inputs.marts(spark, sf)["jours"]
+    return traffic.ranges_filter(days, JOURS, inputs.range_requests(spark, sf))
+
+
 @query
 def project_all(spark, sf):
     return public_columns(inputs.marts(spark, sf)["semaines"])

@@ -113,3 +113,51 @@ def test_shared_folder_comes_from_the_session(spark, monkeypatch):
         shared.shared_folder(Session({}, "yarn"))
     local = Session({}, "local[2]")
     assert shared.shared_folder(local) == shared.shared_folder(local)
+
+
+def _brute_ranges(days, ranges):
+    out = set()
+    for r in ranges:
+        for d in days:
+            if d["co_regate"] != r["co_regate"]:
+                continue
+            if (r["cle_debut"] is None or d["da_comptage"] >= r["cle_debut"]) and (
+                r["cle_fin"] is None or d["da_comptage"] <= r["cle_fin"]
+            ):
+                out.add((r["request_id"], d["co_regate"], d["co_comptage"], d["da_comptage"], d["trafic_reel"]))
+    return out
+
+
+def test_ranges_filter_once_per_request(spark, marts):
+    rows = [
+        (1, "3", "1996-01-01", "1996-06-30"),
+        (1, "3", "1996-03-01", "1997-02-01"),  # overlaps the first
+        (1, "3", "1996-04-01", "1996-04-02"),  # inside the first
+        (1, "3", "1997-02-02", "1997-02-10"),  # touches without overlap
+        (2, "3", None, "1995-12-31"),  # open start
+        (2, "4", "1998-06-01", None),  # open end
+        (3, "7", "1998-01-05", "1997-01-05"),  # reversed: nothing
+        (4, "absent", "1996-01-01", "1999-01-01"),
+        (5, "7", None, None),
+    ]
+    ranges = spark.createDataFrame(rows, "request_id long, co_regate string, cle_debut string, cle_fin string")
+    got = traffic.ranges_filter(marts["jours"], JOURS, ranges)
+    plan = plan_of(got)
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    cols = ["request_id", "co_regate", "co_comptage", "da_comptage", "trafic_reel"]
+    got_rows = [tuple(r[c] for c in cols) for r in got.collect()]
+    assert len(got_rows) == len(set(got_rows))
+    days = marts["jours"].filter("co_regate IN ('3', '4', '7')").collect()
+    assert set(got_rows) == _brute_ranges(days, [dict(zip(cols[:2] + ["cle_debut", "cle_fin"], r)) for r in rows])
+
+
+def test_ranges_filter_prunes_years(spark, sf_dir):
+    plan = plan_of(QUERIES["multi_range_filter_batched"](spark, sf_dir))
+    assert "dynamicpruningexpression" in plan and "BroadcastHashJoin" in plan
+
+
+def test_merged_ranges(spark):
+    rows = [(1, "a", "1", "3"), (1, "a", "2", "5"), (1, "a", "6", "7"), (1, "a", None, "0"), (1, "b", "4", None)]
+    ranges = spark.createDataFrame(rows, "request_id long, co_regate string, cle_debut string, cle_fin string")
+    got = sorted(tuple(r) for r in traffic.merged_ranges(ranges).collect())
+    assert got == [(1, "a", "", "0"), (1, "a", "1", "5"), (1, "a", "6", "7"), (1, "b", "4", "￿")]
