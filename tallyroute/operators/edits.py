@@ -6,7 +6,9 @@ carrying `seq`, their order, against a table keyed by site or scenario.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,6 +151,119 @@ def append_with_next_id(
     return current.unionByName(fresh.select(*current.columns))
 
 
+#: Log entries of one group folded in one round; a round holds at most this many of each group.
+LOG_BLOCK = 50_000
+
+
+def _fold_block(pdf):
+    """One round of one group: the block's entries in order over the largest ids alive before it.
+
+    Rows with `_etat` are the group's largest alive ids (one more than the block's entries, so
+    deletions inside the block never uncover an id that is not here); the others are the block.
+    Gives ('ajout', seq, id) for every addition, ('parti', id) for every deleted id and
+    ('nouveau', id) for every id added and alive at the end.
+    """
+    import heapq
+
+    import pandas as pd
+
+    group = pdf["_groupe"].iat[0]
+    known = pdf[pdf["_etat"]]
+    alive = set(int(i) for i in known["id"])
+    heap = [-i for i in alive]
+    heapq.heapify(heap)
+    gone, added, out = set(), set(), []
+    for op, seq, target in pdf[~pdf["_etat"]].sort_values(["seq", "op", "id"])[["op", "seq", "id"]].itertuples(index=False):
+        if op == "ajout":
+            while heap and -heap[0] not in alive:
+                heapq.heappop(heap)
+            given = (-heap[0] if heap else 0) + 1
+            alive.add(given)
+            heapq.heappush(heap, -given)
+            added.add(given)
+            out.append(("ajout", int(seq), given))
+        elif pd.notna(target):
+            target = int(target)
+            alive.discard(target)
+            added.discard(target)
+            gone.add(target)
+    out += [("parti", None, i) for i in sorted(gone)] + [("nouveau", None, i) for i in sorted(added)]
+    return pd.DataFrame(
+        [(group, kind, seq, i) for kind, seq, i in out], columns=["_groupe", "kind", "seq", "id"]
+    ).astype({"seq": "Int64", "id": "int64"})
+
+
+def fold_log(
+    current: DataFrame, log: DataFrame, group: str, block: int = LOG_BLOCK
+) -> tuple[DataFrame, DataFrame]:
+    """Additions and deletions applied one by one in `seq` order within each group.
+
+    An addition ('ajout') takes 1 + the largest id alive just before it (1 in an empty group), so
+    a freed largest id is given again; a deletion ('suppression') frees its id, if alive. Equal
+    seq values apply in (op, id) order; a deletion without id does nothing.
+
+    Returns (given: group, seq, id of every addition; alive: group, id at the end). The fold runs
+    in rounds: each takes the next `block` entries of every group and the `block` + 1 largest
+    alive ids, folds them per group in one task, and stores the alive table for the next round,
+    so a task holds at most 2 * block + 1 rows whatever the size of a group; a group holding a
+    third of the log takes more rounds, not more memory.
+    """
+    from pyspark.sql import Window
+
+    from tallyroute.sources.shared import shared_folder
+
+    spark = current.sparkSession
+    folder = f"{shared_folder(spark)}/fold-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    kinds = F.when(F.col("op") == "ajout", "ajout").otherwise("suppression")
+    pending = log.select(
+        F.col(group).alias("_groupe"), F.col("seq").cast("long").alias("seq"), kinds.alias("op"),
+        F.col("id").cast("long").alias("id"),
+    ).filter(F.col("_groupe").isNotNull() & F.col("seq").isNotNull())
+    pending = pending.withColumn("_pos", F.monotonically_increasing_id())
+    alive = current.select(F.col(group).alias("_groupe"), F.col("id").cast("long").alias("id")).filter(
+        F.col("_groupe").isNotNull() & F.col("id").isNotNull()
+    ).distinct()
+    step = 0
+
+    def store(df: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{name}-{step}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    pending, alive = store(pending, "log"), store(alive, "alive")
+    given = []
+    by_group = Window.partitionBy("_groupe")
+    while pending.limit(1).count():
+        step += 1
+        order = F.row_number().over(by_group.orderBy("seq", "op", "id", "_pos"))
+        chunk = store(pending.withColumn("_k", order).filter(F.col("_k") <= block).drop("_k"), "chunk")
+        top = F.row_number().over(by_group.orderBy(F.desc("id")))
+        largest = (
+            alive.join(chunk.select("_groupe").distinct(), "_groupe", "left_semi")
+            .withColumn("_k", top)
+            .filter(F.col("_k") <= block + 1)
+            .drop("_k")
+        )
+        rows = chunk.drop("_pos").withColumn("_etat", F.lit(False)).unionByName(
+            largest.select("_groupe", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("op"), "id", F.lit(True).alias("_etat"))
+        )
+        folded = store(
+            rows.groupBy("_groupe").applyInPandas(
+                _fold_block, "_groupe string, kind string, seq long, id long"
+            ),
+            "folded",
+        )
+        given.append(folded.filter("kind = 'ajout'").select("_groupe", "seq", "id"))
+        gone = folded.filter("kind = 'parti'").select("_groupe", "id")
+        new = folded.filter("kind = 'nouveau'").select("_groupe", "id")
+        alive = store(alive.join(gone, ["_groupe", "id"], "left_anti").unionByName(new), "alive")
+        pending = store(pending.join(chunk.select("_groupe", "_pos"), ["_groupe", "_pos"], "left_anti"), "log")
+    schema = "_groupe string, seq long, id long"
+    result = reduce(DataFrame.unionByName, given, spark.createDataFrame([], schema))
+    rename = lambda df: df.withColumnRenamed("_groupe", group)
+    return rename(result), rename(alive)
+
+
 def delete_by_id(current: DataFrame, deletes: DataFrame, group: str) -> DataFrame:
     gone = deletes.select(group, "id").distinct()
     return current.join(gone, [group, "id"], "left_anti")

@@ -241,6 +241,32 @@ def new_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scenario_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Additions and deletions of scenarios interleaved in one log per site, in `seq` order.
+
+    Additions are the typed names that pass validation (seq: the event); each error event deletes
+    the site's largest stored id, or one or two above it, so deletions also hit ids that earlier
+    additions of the log gave and numbers freed at the top are given again.
+    """
+    from tallyroute.operators.edits import accepted, validate_names
+
+    adds = accepted(validate_names(new_scenarios(spark, sf_dir))).select(
+        "site_id", "seq", F.lit("ajout").alias("op"), F.lit(None).cast("long").alias("id"), F.trim("nom").alias("nom")
+    )
+    top = scenarios(spark, sf_dir).groupBy("site_id").agg(F.max("id").alias("_haut"))
+    errors = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    deletes = errors.select(
+        F.pmod("user_id", F.lit(100)).cast("string").alias("site_id"), F.col("event_id").alias("seq")
+    ).join(top, "site_id", "left").select(
+        "site_id",
+        "seq",
+        F.lit("suppression").alias("op"),
+        (F.coalesce("_haut", F.lit(0)) + F.pmod("seq", F.lit(3))).cast("long").alias("id"),
+        F.lit(None).cast("string").alias("nom"),
+    )
+    return adds.unionByName(deletes)
+
+
 def period_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One period edit per scenario; every seventh text is no date."""
     moved = F.date_add(

@@ -811,6 +811,45 @@ gardes AS (
         "trim(n.nom), DATE '1998-06-15', 'Brouillon', NULL, NULL, NULL, NULL, NULL "
         "FROM noms n WHERE trim(n.nom) <> ''",
     ),
+    "append_interleaved": "WITH RECURSIVE " + ",".join([SCENARIOS, NEW_SCENARIOS, """
+haut AS (SELECT site_id, max(id) AS m FROM scenarios GROUP BY site_id),
+journal AS (
+  SELECT site_id, seq, 'ajout' AS op, NULL::BIGINT AS id, trim(nom) AS nom FROM noms WHERE trim(nom) <> ''
+  UNION ALL
+  SELECT CAST(e.user_id % 100 AS VARCHAR), e.event_id, 'suppression', coalesce(h.m, 0) + e.event_id % 3, NULL
+  FROM events e LEFT JOIN haut h ON h.site_id = CAST(e.user_id % 100 AS VARCHAR)
+  WHERE e.event_type = 'error'
+),
+pas AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY seq, op, id) AS k FROM journal),
+depart AS (
+  SELECT p.site_id, coalesce(list(s.id) FILTER (WHERE s.id IS NOT NULL), []::BIGINT[]) AS vivants
+  FROM (SELECT DISTINCT site_id FROM pas) p LEFT JOIN scenarios s ON s.site_id = p.site_id
+  GROUP BY p.site_id
+),
+etat(site_id, k, vivants, donne) AS (
+  SELECT site_id, 0, vivants, NULL::BIGINT FROM depart
+  UNION ALL
+  SELECT e.site_id, e.k + 1,
+    CASE WHEN p.op = 'ajout' THEN list_append(e.vivants, coalesce(list_max(e.vivants), 0) + 1)
+         ELSE list_filter(e.vivants, lambda x: x <> p.id) END,
+    CASE WHEN p.op = 'ajout' THEN coalesce(list_max(e.vivants), 0) + 1 END
+  FROM etat e JOIN pas p ON p.site_id = e.site_id AND p.k = e.k + 1
+),
+donnes AS (
+  SELECT e.site_id, e.donne AS id, max(p.seq) AS seq, arg_max(p.nom, p.seq) AS nom
+  FROM etat e JOIN pas p ON p.site_id = e.site_id AND p.k = e.k
+  WHERE p.op = 'ajout' GROUP BY e.site_id, e.donne
+),
+fin AS (
+  SELECT site_id, unnest(vivants) AS id FROM etat
+  WHERE (site_id, k) IN (SELECT (site_id, max(k)) FROM etat GROUP BY site_id)
+  UNION ALL
+  SELECT site_id, id FROM scenarios WHERE site_id NOT IN (SELECT site_id FROM pas)
+)"""]) + """
+SELECT f.site_id, CAST(f.id AS BIGINT) AS id, coalesce(d.nom, s.nom) AS nom, CAST(d.seq AS BIGINT) AS seq
+FROM fin f LEFT JOIN donnes d ON d.site_id = f.site_id AND d.id = f.id
+LEFT JOIN scenarios s ON s.site_id = f.site_id AND s.id = f.id
+""",
     "delete_by_id": _with(
         COUNTS,
         EDITS,

@@ -408,6 +408,24 @@ def append_with_next_id(spark, sf):
     return json_assets.nested_flatten(added, "periode", "periode_")
 
 
+@query
+def append_interleaved(spark, sf):
+    """Scenarios after one log of additions and deletions applied in order, per site."""
+    stored = inputs.scenarios(spark, sf).select("site_id", "id", "nom")
+    log = inputs.scenario_log(spark, sf)
+    given, alive = edits.fold_log(stored, log, "site_id")
+    latest = (
+        given.join(log.filter("op = 'ajout'").select("site_id", "seq", "nom"), ["site_id", "seq"])
+        .groupBy("site_id", "id")
+        .agg(F.max_by("nom", "seq").alias("_nom"), F.max("seq").alias("seq"))
+    )
+    return (
+        alive.join(latest, ["site_id", "id"], "left")
+        .join(stored, ["site_id", "id"], "left")
+        .select("site_id", "id", F.coalesce("_nom", "nom").alias("nom"), "seq")
+    )
+
+
 @query
 def delete_by_id(spark, sf):
     removed = inputs.count_edits(spark, sf).filter(F.col("op") == "suppression")

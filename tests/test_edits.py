@@ -147,3 +147,49 @@ def test_free_types_and_default_products(spark):
 def test_count_rules(spark, kind, value, motif):
     df = spark.createDataFrame([(kind, value)], "type_id int, valeur long")
     assert edits.validate_counts(df).first().motif_rejet == motif
+
+
+def _brute_fold(current, log):
+    alive = {}
+    for g, i in current:
+        alive.setdefault(g, set()).add(i)
+    given = []
+    for g, seq, op, i in sorted(log, key=lambda r: (r[0], r[1], r[2], -1 if r[3] is None else r[3])):
+        ids = alive.setdefault(g, set())
+        if op == "ajout":
+            n = max(ids, default=0) + 1
+            ids.add(n)
+            given.append((g, seq, n))
+        elif i is not None:
+            ids.discard(i)
+    return sorted(given), sorted((g, i) for g, s in alive.items() for i in s)
+
+
+@pytest.mark.parametrize("block", [1, 7, 1_000_000])
+def test_fold_log_any_block(spark, block):
+    import random
+
+    rng = random.Random(block)
+    current = [("a", 1), ("a", 2), ("a", 3), ("b", 10)]
+    log = [
+        ("a", 1, "ajout", None), ("a", 2, "suppression", 4), ("a", 3, "ajout", None),  # 4, freed, 4 again
+        ("a", 4, "suppression", 2), ("a", 5, "ajout", None), ("c", 1, "ajout", None),
+        ("c", 2, "suppression", 1), ("c", 3, "ajout", None), ("b", 5, "suppression", None),
+    ]
+    # A third of the log in one site.
+    log += [("h", rng.randint(0, 300), rng.choice(["ajout", "suppression"]), rng.randint(0, 9)) for _ in range(40)]
+    log += [(rng.choice("bdx"), rng.randint(0, 300), rng.choice(["ajout", "suppression"]), rng.randint(0, 12)) for _ in range(40)]
+    cur = spark.createDataFrame(current, "site string, id long")
+    lg = spark.createDataFrame(log, "site string, seq long, op string, id long")
+    given, alive = edits.fold_log(cur, lg, "site", block)
+    want_given, want_alive = _brute_fold(current, log)
+    assert sorted(tuple(r) for r in given.collect()) == want_given
+    assert sorted(tuple(r) for r in alive.collect()) == want_alive
+    assert [r for r in want_given if r[0] == "a"] == [("a", 1, 4), ("a", 3, 4), ("a", 5, 5)]
+
+
+def test_fold_log_empty(spark):
+    cur = spark.createDataFrame([("a", 1)], "site string, id long")
+    lg = spark.createDataFrame([], "site string, seq long, op string, id long")
+    given, alive = edits.fold_log(cur, lg, "site")
+    assert given.count() == 0 and [tuple(r) for r in alive.collect()] == [("a", 1)]
