@@ -84,41 +84,39 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def search(docs: DataFrame, benchmark: DataFrame, top: int = TOP) -> DataFrame:
     """Each item's `top` best documents with score above 0: item_id, rank, doc_id, score."""
     row = "_lex_row"
-    base = with_row(docs.select("doc_id", "text"), row).select(
-        F.col(row), F.col("doc_id").cast("long").alias("doc_id"), terms(F.col("text")).alias("t")
-    )
-    base = base.select(row, "doc_id", F.size("t").cast("long").alias("n"), "t")
-    totals = base.agg(
-        F.count(F.when(F.col("n") > 0, 1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")
-    ).first()
-    big_n, big_l = int(totals["N"]), int(totals["L"])
-
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), terms(F.col("text")).alias("t"))
         .select("item_id", F.explode(F.array_distinct("t")).alias("term"))
         .distinct()
     )
     items = stored(items, "lexical-items")
-    vocab = items.select("term").distinct()
+    vocab = items.select("term").distinct().withColumn("_in", F.lit(True))
     n_vocab = vocab.count()
-    if big_n == 0 or n_vocab == 0:
-        return _empty(docs)
 
-    m = F.lit(50) + F.expr(f"(50 * n * {big_n}L) div {big_l}L")
-    pairs = (
-        base.filter("n > 0")
-        .select(row, "doc_id", m.alias("m"), F.explode(_term_counts(F.col("t"))).alias("p"))
-        .select(row, "doc_id", "m", F.col("p.term").alias("term"), F.col("p.tf").alias("tf"))
-        .join(_small(vocab, n_vocab), "term", "left_semi")
+    # Every text is read and cut into terms once: one stored row per document with n and its
+    # counts of vocabulary terms (empty when it holds none), gathered per document before the shuffle.
+    counted = with_row(docs.select("doc_id", "text"), row).select(
+        F.col(row), F.col("doc_id").cast("long").alias("doc_id"), terms(F.col("text")).alias("t")
+    )
+    pairs = counted.select(
+        row, "doc_id", F.size("t").cast("long").alias("n"), F.explode_outer(_term_counts(F.col("t"))).alias("p")
     )
-    # One shuffle of the restricted pairs gives each document its sorted vector.
     bags = stored(
-        pairs.groupBy(row, "doc_id", "m").agg(
-            F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("vec")
-        ),
+        pairs.join(_small(vocab, n_vocab), F.col("p.term") == F.col("term"), "left")
+        .groupBy(row, "doc_id", "n")
+        .agg(F.array_sort(F.collect_list(F.when(F.col("_in"), F.col("p")))).alias("vec")),
         "lexical-bags",
     )
-    df_of = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    totals = bags.agg(
+        F.count(F.when(F.col("n") > 0, 1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")
+    ).first()
+    big_n, big_l = int(totals["N"]), int(totals["L"])
+    if big_n == 0 or n_vocab == 0:
+        return _empty(docs)
+
+    df_of = bags.select(F.explode("vec").alias("p")).groupBy(F.col("p.term").alias("term")).agg(
+        F.count(F.lit(1)).alias("df")
+    )
     weights = stored(
         items.join(df_of, "term").select(
             "item_id",
@@ -132,6 +130,8 @@ def search(docs: DataFrame, benchmark: DataFrame, top: int = TOP) -> DataFrame:
         "lexical-weights",
     )
     n_weights = weights.count()
+    m = F.lit(50) + F.expr(f"(50 * n * {big_n}L) div {big_l}L")
+    bags = bags.filter(F.size("vec") > 0).select(row, "doc_id", m.alias("m"), "vec")
 
     bags, keys, classes = _classes(bags)
     scored = (
