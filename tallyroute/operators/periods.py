@@ -5,11 +5,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroute.constants import MAX_PERIOD_YEARS, PERIOD_MAX, PERIOD_MIN
 from tallyroute.functions.dates import clamp, parse_iso, shift_years
+from tallyroute.sources.shared import written
 
 
 def _bounds(low: str, high: str) -> tuple[Column, Column]:
@@ -58,8 +59,16 @@ def default_periods(
     return normalise_periods(filled, low, high)
 
 
+#: Edits of one scenario folded in one round; a longer log takes more rounds.
+PERIOD_BLOCK = 10_000
+
+
 def apply_period_edits(
-    periods: DataFrame, edits: DataFrame, low: str = PERIOD_MIN, high: str = PERIOD_MAX
+    periods: DataFrame,
+    edits: DataFrame,
+    low: str = PERIOD_MIN,
+    high: str = PERIOD_MAX,
+    block: int | None = PERIOD_BLOCK,
 ) -> DataFrame:
     """Periods after a log of edits (`cote` = debut or fin, `valeur` a text date).
 
@@ -69,17 +78,17 @@ def apply_period_edits(
     moved. A text that is no date changes nothing. Without `seq`, or where it
     ties, edits of the start come before edits of the end, earlier dates first.
 
-    The edits of one scenario are folded in its own row: each depends on the one
-    before, so a log is as long as one row may be (some 30 bytes an edit).
+    The fold runs in rounds: each takes the next `block` edits of every scenario (None: all in
+    one round), folds them into the stored state (start, end, adjusted) of each period row with
+    the built-in `aggregate`, and writes that state for the next round. A row holds at most
+    `block` edits, so a scenario with a third of a log of millions takes more rounds, not a row
+    of unbounded size. Results do not depend on `block`.
     """
     lo, hi = _bounds(low, high)
     seq = F.col("seq") if "seq" in edits.columns else F.lit(0)
     log = edits.select(
-        "scenario_id", seq.alias("seq"), "cote", parse_iso(F.col("valeur")).alias("jour")
-    ).filter(F.col("jour").isNotNull() & F.col("cote").isin("debut", "fin"))
-    logs = log.groupBy("scenario_id").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "cote", "jour"))).alias("_journal")
-    )
+        "scenario_id", seq.cast("long").alias("seq"), "cote", parse_iso(F.col("valeur")).alias("jour")
+    ).filter(F.col("jour").isNotNull() & F.col("cote").isin("debut", "fin") & F.col("scenario_id").isNotNull())
 
     def edited(state: Column, edit: Column) -> Column:
         start, end, day = state["debut"], state["fin"], edit["jour"]
@@ -98,12 +107,36 @@ def apply_period_edits(
     begun = F.struct(
         F.col("dateDebut").alias("debut"), F.col("dateFin").alias("fin"), F.lit(False).alias("ajuste")
     )
-    return (
-        periods.join(logs, "scenario_id", "left")
-        .withColumn("_etat", F.coalesce(F.aggregate("_journal", begun, edited), begun))
-        .withColumns({"dateDebut": F.col("_etat.debut"), "dateFin": F.col("_etat.fin")})
-        .select(*periods.columns, F.col("_etat.ajuste").alias("ajuste"))
-    )
+
+    def fold(state: DataFrame, chunk: DataFrame) -> DataFrame:
+        logs = chunk.groupBy("scenario_id").agg(
+            F.sort_array(F.collect_list(F.struct("seq", "cote", "jour", "_pos"))).alias("_journal")
+        )
+        return state.join(logs, "scenario_id", "left").withColumn(
+            "_etat", F.coalesce(F.aggregate("_journal", F.col("_etat"), edited), F.col("_etat"))
+        ).drop("_journal")
+
+    if block is None:
+        state = fold(periods.withColumn("_etat", begun), log.withColumn("_pos", F.lit(0)))
+    else:
+        rows = written(periods.withColumn("_ligne", F.monotonically_increasing_id()), "periods")
+        state = rows.select("_ligne", "scenario_id", begun.alias("_etat"))
+        pending = written(log.withColumn("_pos", F.monotonically_increasing_id()), "period-log")
+        order = Window.partitionBy("scenario_id").orderBy("seq", "cote", "jour", "_pos")
+        while pending.limit(1).count():
+            chunk = written(
+                pending.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= block).drop("_k"),
+                "period-chunk",
+            )
+            state = written(fold(state, chunk), "period-state")
+            pending = written(
+                pending.join(chunk.select("scenario_id", "_pos"), ["scenario_id", "_pos"], "left_anti"),
+                "period-log",
+            )
+        state = rows.join(state.drop("scenario_id"), "_ligne")
+    return state.withColumns(
+        {"dateDebut": F.col("_etat.debut"), "dateFin": F.col("_etat.fin")}
+    ).select(*periods.columns, F.col("_etat.ajuste").alias("ajuste"))
 
 
 def _counted(n: Column, one: str, many: str) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import threading
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
 _written: dict[tuple[str, str, str], str] = {}
@@ -41,3 +42,12 @@ def derived_table(
             write(path)
             _written[key] = path
         return _written[key]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again: the lineage ends there."""
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/tallyroute-{app}/rounds/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -83,14 +83,16 @@ def test_period_edits(spark):
         assert (r.dateDebut, r.dateFin, r.ajuste) == edited((a, b), side, text)
 
 
-def test_each_edit_acts_on_what_the_last_one_left(spark):
+@pytest.mark.parametrize("block", [1, 7, None])
+def test_each_edit_acts_on_what_the_last_one_left(spark, block):
     rng = random.Random(4)
     current, log, expected = [], [], {}
     for i, day in enumerate(random_days(rng, 200)):
         a = hold(day)
         state, moved = (a, min(HIGH, a + timedelta(days=rng.randrange(731)))), False
         current.append((i, *state))
-        for seq in range(rng.randrange(6)):
+        # Scenario 0 holds a third of the log.
+        for seq in range(40 if i == 0 else rng.randrange(6)):
             side = rng.choice(["debut", "fin"])
             text = rng.choice([str(hold(a + timedelta(days=rng.randrange(-1500, 1500)))), "", "bientôt"])
             log.append((i, seq, side, text))
@@ -100,7 +102,8 @@ def test_each_edit_acts_on_what_the_last_one_left(spark):
     rng.shuffle(log)
     schema = "scenario_id long, seq int, cote string, valeur string"
     got = periods.apply_period_edits(
-        spark.createDataFrame(current, SCHEMA), spark.createDataFrame(log, schema)
+        spark.createDataFrame(current, SCHEMA), spark.createDataFrame(log + [(None, 0, "fin", "2020-01-01")], schema),
+        block=block,
     )
     assert {r.scenario_id: (r.dateDebut, r.dateFin, r.ajuste) for r in got.collect()} == expected
 
