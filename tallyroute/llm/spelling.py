@@ -126,12 +126,31 @@ def single_edits(xs: list[str], ys: list[str]) -> np.ndarray:
     return close & differ & (prefix + suffix >= longer - 1)
 
 
+def _pairs_of(kind, half, xs, ys, hit, same, found):
+    for i, j in zip(*np.nonzero(hit)):
+        a, b = xs[i], ys[j]
+        if same and len(a) == len(b) and a > b:
+            continue  # a pair of short words of one tile is met twice
+        if kind[i] == "s" and a[:half] == b[:half]:
+            continue  # found in the prefix block
+        found.append((a, b) if (len(a), a) < (len(b), b) else (b, a))
+
+
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Near pairs of one tile pair of one block."""
-    kind, ell = pdf["kind"].iat[0], int(pdf["L"].iat[0])
-    t1, t2 = int(pdf["t1"].iat[0]), int(pdf["t2"].iat[0])
+    """Near pairs of one group: a bucket of small blocks of one length, or a tile pair of a big one."""
+    ell = int(pdf["L"].iat[0])
     half = ell // 2
     found: list[tuple[str, str]] = []
+    if pdf["nt"].iat[0] == 1:
+        # Small blocks packed together: one dense comparison, pairs kept within a block.
+        block = (pdf["kind"] + "\x00" + pdf["key"]).to_numpy()
+        short = pdf["short"].to_numpy(dtype=bool)
+        xs_all = pdf["word"].tolist()
+        xs = [w for w, k in zip(xs_all, short) if k]
+        hit = single_edits(xs, xs_all) & (block[short][:, None] == block[None, :])
+        _pairs_of(pdf["kind"].to_numpy()[short], half, xs, xs_all, hit, True, found)
+        return pd.DataFrame(found, columns=["a", "b"])
+    t1, t2 = int(pdf["t1"].iat[0]), int(pdf["t2"].iat[0])
     first = pdf[pdf["t"] == t1]
     second = pdf[pdf["t"] == t2]
     plans = [(first[first["short"]], second, t1 == t2)]
@@ -139,34 +158,45 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
         plans.append((second[second["short"]], first[~first["short"]], False))
     for xs_df, ys_df, same in plans:
         xs, ys = xs_df["word"].tolist(), ys_df["word"].tolist()
-        hit = single_edits(xs, ys)
-        for i, j in zip(*np.nonzero(hit)):
-            a, b = xs[i], ys[j]
-            if same and len(a) == len(b) and a > b:
-                continue  # a pair of short words of one tile is met twice
-            if kind == "s" and a[:half] == b[:half]:
-                continue  # found in the prefix block
-            found.append((a, b) if (len(a), a) < (len(b), b) else (b, a))
+        _pairs_of(xs_df["kind"].to_numpy(), half, xs, ys, single_edits(xs, ys), same, found)
     return pd.DataFrame(found, columns=["a", "b"])
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """Each pair of near words once: (a, b) with a the shorter, or the smaller of equal length."""
+    """Each pair of near words once: (a, b) with a the shorter, or the smaller of equal length.
+
+    A block of at most one tile's words is small: the small blocks of one length share buckets of
+    about a tile's words, compared in one call. A bigger block is cut into hashed tiles, one call
+    per tile pair.
+    """
     blocks = stored(_blocks(words), "spelling-blocks")
-    sizes = blocks.groupBy("kind", "L", "key").agg(F.count(F.lit(1)).alias("size"))
     per_tile = _tile_words(F.col("L"))
+    sizes = stored(
+        blocks.groupBy("kind", "L", "key")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .filter("size > 1")
+        .withColumn("nt", F.ceil(F.col("size") / per_tile).cast("int")),
+        "spelling-sizes",
+    )
+    small_words = sizes.filter("nt = 1").groupBy("L").agg(F.sum("size").alias("_in_small"))
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("_in_small") / per_tile)).cast("long")
     tiled = (
-        blocks.join(sizes.filter("size > 1"), ["kind", "L", "key"])
-        .withColumn("nt", F.ceil(F.col("size") / per_tile).cast("int"))
+        blocks.join(sizes, ["kind", "L", "key"])
+        .join(small_words, "L", "left")
         .withColumn("t", F.pmod(F.xxhash64("word"), F.col("nt")).cast("int"))
-        .withColumn("u", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
+        .withColumn(
+            "u",
+            F.explode(F.when(F.col("nt") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nt") - 1))),
+        )
         .select(
-            "kind", "L", "key", "short", "word", "t",
+            "kind", "L", "key", "short", "word", "t", "nt",
             F.least("t", "u").alias("t1"), F.greatest("t", "u").alias("t2"),
+            F.when(
+                F.col("nt") == 1, F.concat(F.lit("b"), F.pmod(F.xxhash64("kind", "key"), buckets).cast("string"))
+            ).otherwise(F.concat(F.lit("t"), F.col("kind"), F.lit("\x00"), F.col("key"))).alias("_group"),
         )
     )
-    pairs = tiled.groupBy("kind", "L", "key", "t1", "t2").applyInPandas(_compare, "a string, b string")
-    return pairs
+    return tiled.groupBy("L", "_group", "t1", "t2").applyInPandas(_compare, "a string, b string")
 
 
 def variants(docs: DataFrame) -> DataFrame:
