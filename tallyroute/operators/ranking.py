@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,45 +25,40 @@ def numbered(
     `order` is an integer unique in its group. `start` holds one row per group
     and the number (`debut`) to go on from. A NULL group is a group too.
 
-    The span of a group's order values is cut into as many equal blocks as the
-    group has multiples of `max_rows` rows. Each block is numbered by itself,
-    and what comes before it is added from the block counts, so a group that
-    holds a third of all rows is spread over many tasks. Sparse values make no
-    more blocks than dense ones; values crowded into a small part of their span
-    make blocks of more than `max_rows` rows. Nothing runs while the plan is
-    built; the result reads `df` three times.
+    The rows are range-partitioned by (group, order), so every partition holds a
+    run of the global order, and sorted within their partition. A row's place in
+    its partition comes with it (`monotonically_increasing_id` after the sort);
+    the rows of its group in earlier partitions come from a prefix sum over the
+    counts per (group, partition). A group that holds a third of all rows is
+    spread over many tasks however its order values crowd, in blocks of the sizes
+    Spark's range sampling gives; `max_rows` is no longer needed and kept for
+    callers. Nothing runs while the plan is built; the input is read by the range
+    sample and by the shuffle, and both branches share that one exchange.
     """
-    first, last = F.min(order).cast("double"), F.max(order).cast("double")
-    spans = df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"), first.alias("_premier"), last.alias("_dernier")
-    )
-    # One row per `max_rows` rows of the input at most, so both broadcasts stay small.
-    large = spans.filter(F.col("_n") > max_rows)
-    parts = F.ceil(F.col("_n") / max_rows)
-    place = F.width_bucket(F.col(order).cast("double"), "_premier", "_dernier", parts)
-    marked = df.join(F.broadcast(large), group, "left").select(
-        *df.columns, F.coalesce(place, F.lit(0)).alias("_bloc")
+    keys = [*group, order]
+    placed = (
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_pos", F.monotonically_increasing_id())
+        .withColumn("_bloc", F.shiftright("_pos", 33))
     )
-    counts = (
-        marked.filter(F.col("_bloc") > 0)
-        .groupBy(*group, "_bloc")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    blocks = placed.groupBy(*group, "_bloc").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_premier")
     )
     earlier = Window.partitionBy(*group).orderBy("_bloc").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = counts.select(*group, "_bloc", F.sum("_n").over(earlier).alias("_avant"))
-    number = F.coalesce("_avant", F.lit(0)) + F.col("_rang")
+    offsets = blocks.select(
+        *[F.col(g).alias(f"_cle{i}") for i, g in enumerate(group)],
+        F.col("_bloc").alias("_cle_bloc"),
+        "_premier",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_avant"),
+    )
+    same = [placed[g].eqNullSafe(offsets[f"_cle{i}"]) for i, g in enumerate(group)]
+    rows = placed.join(offsets, reduce(and_, same, placed["_bloc"] == offsets["_cle_bloc"]), "left")
+    number = F.col("_avant") + F.col("_pos") - F.col("_premier") + 1
     if start is not None:
         begun = start.select(*group, F.col("debut").alias("_debut"))
-        marked = marked.join(begun, group, "left")
+        rows = rows.join(begun, group, "left")
         number = number + F.coalesce("_debut", F.lit(0))
-    # An explicit exchange: a partitioning on `group` alone, left by an earlier
-    # step, would also satisfy the window and keep a large group in one task.
-    spread = marked.repartition(*group, "_bloc")
-    inside = Window.partitionBy(*group, "_bloc").orderBy(order)
-    return (
-        spread.withColumn("_rang", F.row_number().over(inside))
-        .join(F.broadcast(offsets), [*group, "_bloc"], "left")
-        .select(*df.columns, number.cast("bigint").alias(name))
-    )
+    return rows.select(*df.columns, number.cast("bigint").alias(name))
