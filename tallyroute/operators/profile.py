@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,39 @@ def dataset_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(counts).orderBy("table_name")
 
 
+def footer_row_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Exact row count of every Parquet table, by name, from the row counts in its file footers.
+
+    The tables are read through Spark's DataSource V2 Parquet reader with aggregate push-down, so
+    COUNT(*) is answered from the footers and no column is read. Both settings hold only while the
+    plan is made; the returned DataFrame keeps that plan. A reader that cannot push the count down
+    (other formats, or a plan made again later) scans instead, with the same result.
+    """
+    v1 = spark.conf.get("spark.sql.sources.useV1SourceList")
+    settings = {
+        "spark.sql.sources.useV1SourceList": ",".join(
+            f for f in v1.split(",") if f.strip().lower() != "parquet"
+        ),
+        "spark.sql.parquet.aggregatePushdown": "true",
+    }
+    saved = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        counts = [
+            spark.read.parquet(path)
+            .agg(F.count(F.lit(1)).alias("table_rows"))
+            .select(F.lit(name).alias("table_name"), "table_rows")
+            for name, path in paths.items()
+        ]
+        result = _union(counts).orderBy("table_name")
+        result._jdf.queryExecution().executedPlan()
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    return result
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

@@ -732,6 +732,9 @@ parGrain AS (
     "dataset_row_counts": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS table_rows FROM {t}" for t in TABLES
     ),
+    "dataset_row_counts_footers": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS table_rows FROM {t}" for t in TABLES
+    ),
     "column_profile": _with(
         PROFILE,
         select="SELECT table_name, ordinal_position, column_name, column_type, null_count, "

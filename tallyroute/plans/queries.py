@@ -320,6 +320,11 @@ def dataset_row_counts(spark, sf):
     return profile.dataset_row_counts(_tables(spark, sf))
 
 
+@query
+def dataset_row_counts_footers(spark, sf):
+    return profile.footer_row_counts(spark, {t: f"{sf}/{t}.parquet" for t in TABLES})
+
+
 @query
 def column_profile(spark, sf):
     return profile.column_profile(_tables(spark, sf))

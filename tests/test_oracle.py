@@ -24,3 +24,11 @@ def test_every_query_has_sql():
 
 def test_entry_runs(spark):
     assert entry_point.entry(spark).count() == 418
+
+
+def test_footer_counts_read_no_column(spark, sf_dir):
+    df = QUERIES["dataset_row_counts_footers"](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedAggregation: [COUNT(*)]") == 14
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, QUERIES["dataset_row_counts"](spark, sf_dir).collect()))
