@@ -281,16 +281,38 @@ def limit_per_grain(routed: DataFrame, limit: int) -> DataFrame:
 
 
 def paginate_result(routed: DataFrame, page: int, page_size: int) -> DataFrame:
-    """Page `page`, from 1, of each request's whole result."""
+    """Page `page`, from 1, of each request's whole result.
+
+    A page locator: rows are counted per (request, grain, key), and the running counts in result
+    order tell which keys hold the page's rows; only the rows of those keys are ranked, from the
+    count before their key on. A deep page sorts a page's keys, not the request's whole result.
+    A request lists at most some 56 keys, so the counts are few.
+    """
     if page < 1 or page_size < 1:
         raise ValueError("page and page_size start at 1")
-    rows = Window.partitionBy("request_id").orderBy("periode", *_result_order(routed))
-    ranked = routed.withColumn("rang", F.row_number().over(rows))
+    order = _result_order(routed)
+    keys = ["periode", *[c for c in order if c in _KEY_COLUMNS]]
+    rest = [c for c in order if c not in keys]
     last = page * page_size
-    # The upper bound alone lets Spark keep the first rows before it shuffles.
+    counts = routed.groupBy("request_id", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("request_id").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    located = (
+        counts.withColumn("_avant", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .filter((F.col("_avant") < last) & (F.col("_avant") + F.col("_n") > last - page_size))
+        .select(*[F.col(c).alias(f"_loc_{c}") for c in ["request_id", *keys]], "_avant")
+    )
+    same = [routed[c].eqNullSafe(located[f"_loc_{c}"]) for c in ["request_id", *keys]]
+    picked = routed.join(located, reduce(lambda a, b: a & b, same)).drop(
+        *[f"_loc_{c}" for c in ["request_id", *keys]]
+    )
+    inside = Window.partitionBy("request_id", *keys).orderBy(*rest)
+    ranked = picked.withColumn("rang", (F.col("_avant") + F.row_number().over(inside)).cast("int")).drop("_avant")
     return ranked.filter(F.col("rang") <= last).filter(F.col("rang") > last - page_size)
 
 
+_KEY_COLUMNS = ("da_comptage", "co_semaine_comptage", "co_mois_comptage", "cle_comptage")
+
+
 def table_sample(
     spark: SparkSession,
     table: str,

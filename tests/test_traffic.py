@@ -161,3 +161,23 @@ def test_merged_ranges(spark):
     ranges = spark.createDataFrame(rows, "request_id long, co_regate string, cle_debut string, cle_fin string")
     got = sorted(tuple(r) for r in traffic.merged_ranges(ranges).collect())
     assert got == [(1, "a", "", "0"), (1, "a", "1", "5"), (1, "a", "6", "7"), (1, "b", "4", "￿")]
+
+
+@pytest.mark.parametrize("page,size", [(1, 7), (2, 20), (9, 13), (500, 3)])
+def test_page_locator_gives_the_rows_of_a_whole_sort(spark, sf_dir, marts, page, size):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    segments = routing.decompose_auto(inputs.requests(spark, sf_dir))
+    routed = routing.route_traffic(segments, marts).cache()
+    got = traffic.paginate_result(routed, page, size)
+    order = traffic._result_order(routed)
+    whole = routed.withColumn("rang", F.row_number().over(Window.partitionBy("request_id").orderBy("periode", *order)))
+    want = whole.filter((F.col("rang") > (page - 1) * size) & (F.col("rang") <= page * size))
+    cols = sorted(want.columns)
+
+    def rows(df):
+        return sorted((tuple(r) for r in df.select(cols).collect()), key=lambda t: [(v is None, str(v)) for v in t])
+
+    assert rows(got) == rows(want)
+    assert got.schema["rang"].dataType.simpleString() == "int"
