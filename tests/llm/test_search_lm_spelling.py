@@ -243,3 +243,23 @@ def test_lm_scores_base_and_edge_cases(spark):
         assert math.isfinite(r["score"]) and r["score"] < 0
     empty = recurrent_lm.scores(_frame(spark, []))
     assert empty.count() == 0
+
+
+def test_lm_learns_from_every_training_row(spark, monkeypatch):
+    # A bound on sampled training tokens, as there once was, must have no say.
+    monkeypatch.setattr(recurrent_lm, "TRAIN_TOKENS", 1, raising=False)
+    rows = [(i, "left right " * 300) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = recurrent_lm.scores(docs).collect()
+    gain = [(r["score"] - r["base_score"]) / r["n_tokens"] for r in got]
+    assert min(gain) > 0.2  # a pair that takes turns is near certain; counts alone give 0.3 less a word
+    counts = collections.Counter({b"left": 5, b"right": 5})
+    vocabulary = recurrent_lm.Vocabulary(sorted(counts.items()), 4, 10, 2)
+    shared, known = (type("Shared", (), {"value": v}) for v in (recurrent_lm.init_model(4), vocabulary))
+    import pandas as pd
+
+    texts = [pd.DataFrame({"text": [b"left right", None, b"x " * 50], "task": 0}) for _ in range(3)]
+    pieces = pd.concat(recurrent_lm._trainer(shared, known, 1)(iter(texts)))
+    assert set(pieces["tokens"]) == {3 * (3 + 1 + 51)} and len(pieces) == recurrent_lm.PIECES
+    averaged = recurrent_lm._average(pieces[pieces["piece"] == 0])
+    assert np.frombuffer(averaged["value"][0]) == pytest.approx(np.frombuffer(pieces["value"].iloc[0], dtype=np.float32))
