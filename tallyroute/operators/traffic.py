@@ -27,6 +27,7 @@ from tallyroute.operators.routing import (
 )
 from tallyroute.plans.sizing import MAX_BROADCAST_ROWS
 from tallyroute.sources.marts import PARTITION, public_columns
+from tallyroute.sources.shared import written
 
 
 def site_filter(table: DataFrame, site: str) -> DataFrame:
@@ -275,11 +276,38 @@ def limit_per_grain(routed: DataFrame, limit: int) -> DataFrame:
         raise ValueError("limit starts at 0")
     if limit == 0:
         return routed.limit(0)
-    rows = Window.partitionBy("request_id", "periode").orderBy(*_result_order(routed))
-    ranked = routed.withColumn("rang", F.row_number().over(rows))
+    order = _result_order(routed)
+    keys = [c for c in order if c in _KEY_COLUMNS]
+    rows = Window.partitionBy("request_id", "periode").orderBy(*order)
+    ranked = _of_first_keys(routed, keys, limit).withColumn("rang", F.row_number().over(rows))
     return ranked.filter(F.col("rang") <= limit).drop("rang")
 
 
+def _of_first_keys(routed: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Rows under the first keys of each (request, grain) that together hold `limit` rows or all.
+
+    Rows are counted per key, so that only those of a few keys are sorted whole. The keys found are
+    stored: their number tells whether they may be broadcast. Else they are hashed, not sorted.
+    """
+    if not keys:
+        return routed
+    by = ["request_id", "periode", *keys]
+    counts = routed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    before = (
+        Window.partitionBy("request_id", "periode")
+        .orderBy(*keys)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    first = counts.withColumn("_avant", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(
+        F.col("_avant") < limit
+    )
+    first = written(first.select(*[F.col(c).alias(f"_cle_{c}") for c in by]), "first-keys")
+    few = first.count() <= MAX_BROADCAST_ROWS
+    first = F.broadcast(first) if few else first.hint("shuffle_hash")
+    same = [routed[c].eqNullSafe(first[f"_cle_{c}"]) for c in by]
+    return routed.join(first, reduce(lambda a, b: a & b, same), "left_semi")
+
+
 def paginate_result(routed: DataFrame, page: int, page_size: int) -> DataFrame:
     """Page `page`, from 1, of each request's whole result.
 

@@ -181,3 +181,17 @@ def test_page_locator_gives_the_rows_of_a_whole_sort(spark, sf_dir, marts, page,
 
     assert rows(got) == rows(want)
     assert got.schema["rang"].dataType.simpleString() == "int"
+
+
+def test_limit_sorts_rows_of_the_first_keys_only(spark):
+    rows = [(r, p, k, f"d{i % 7}") for r in (1, None) for p in ("jours", "mois") for k in (None, "a", "b", "c") for i in range(30)]
+    routed = spark.createDataFrame(rows, "request_id int, periode string, cle_comptage string, lb_objet string")
+    first = traffic._of_first_keys(routed, ["cle_comptage"], 35)
+    assert first.count() == 2 * 2 * 60  # a null key and `a` hold the first 35 rows
+    got = traffic.limit_per_grain(routed, 35)
+    assert "leftsemi" in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    by_group = {}
+    for r, p, k, d in sorted(rows, key=lambda x: (x[2] is not None, x[2] or "", x[3])):
+        by_group.setdefault((r, p), []).append((r, p, k, d))
+    want = [x for group in by_group.values() for x in group[:35]]
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, want))
