@@ -74,7 +74,7 @@ def _term_counts(t: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(t), counted)
+    return let(F.sort_array(t), counted)
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -99,12 +99,14 @@ def search(docs: DataFrame, benchmark: DataFrame, top: int = TOP) -> DataFrame:
         F.col(row), F.col("doc_id").cast("long").alias("doc_id"), terms(F.col("text")).alias("t")
     )
     pairs = counted.select(
-        row, "doc_id", F.size("t").cast("long").alias("n"), F.explode_outer(_term_counts(F.col("t"))).alias("p")
+        row, "doc_id", F.size("t").cast("long").alias("n"), F.posexplode_outer(_term_counts(F.col("t"))).alias("at", "p")
     )
+    # Each document keeps its first pair, in the vocabulary or not: n counts without a match.
     bags = stored(
         pairs.join(_small(vocab, n_vocab), F.col("p.term") == F.col("term"), "left")
+        .filter(F.col("_in").isNotNull() | (F.coalesce("at", F.lit(0)) == 0))
         .groupBy(row, "doc_id", "n")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("_in"), F.col("p")))).alias("vec")),
+        .agg(F.sort_array(F.collect_list(F.when(F.col("_in"), F.col("p")))).alias("vec")),
         "lexical-bags",
     )
     totals = bags.agg(

@@ -97,6 +97,13 @@ def test_search_hot_copies_keep_smallest_ids(spark):
     assert len(rows) == 50
 
 
+def test_term_counts_sort_without_a_comparator(spark):
+    df = spark.createDataFrame([(["b", "a", "b"],), ([],)], "t array<string>")
+    counted = df.select(lexical_search._term_counts(df["t"]).alias("p"))
+    assert "array_sort(" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted([tuple(x) for x in r["p"]] for r in counted.collect()) == [[], [("a", 1), ("b", 2)]]
+
+
 # ---------------------------------------------------------------- op13
 
 
