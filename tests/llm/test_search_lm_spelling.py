@@ -270,3 +270,97 @@ def test_lm_learns_from_every_training_row(spark, monkeypatch):
     assert set(pieces["tokens"]) == {3 * (3 + 1 + 51)} and len(pieces) == recurrent_lm.PIECES
     averaged = recurrent_lm._average(pieces[pieces["piece"] == 0])
     assert np.frombuffer(averaged["value"][0]) == pytest.approx(np.frombuffer(pieces["value"].iloc[0], dtype=np.float32))
+
+
+def test_lm_words_split_in_arrow_match_python():
+    import pyarrow as pa
+
+    texts = [b" A\tb\nC\x0bd\x0ce\r ", None, b"", b"  ", "É\u00a0À\u2003x \u0085y".encode(), b"x\x1cy\x00z \xff\xfeQ [Z]"]
+    texts += [bytes(random.Random(i).choices(b" \t\n\x0b\x0c\r\x1c\x1f@AZ[az\xc3\x85", k=200)) for i in range(20)]
+    want = [(t or b"").lower().split() for t in texts]
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.array([b"left out", *texts], type=kind).slice(1)
+        words, sizes = recurrent_lm._split(column)
+        assert sizes.tolist() == [len(t) for t in want]
+        assert words.to_pylist() == [w for t in want for w in t]
+    assert recurrent_lm._split(pa.array([], type=pa.binary()))[1].tolist() == []
+
+
+def test_lm_words_looked_up_by_group_not_by_document(monkeypatch):
+    import pandas as pd
+
+    counts = collections.Counter({b"left": 5, b"right": 5})
+    vocabulary = recurrent_lm.Vocabulary(sorted(counts.items()), 4, 10, 2)
+    shared, known = (type("Shared", (), {"value": v}) for v in (recurrent_lm.init_model(4), vocabulary))
+    calls = []
+    plain = recurrent_lm.Vocabulary.encode
+    monkeypatch.setattr(recurrent_lm.Vocabulary, "encode", lambda self, w: calls.append(len(w)) or plain(self, w))
+
+    def lookups():
+        calls.clear()
+        frames = [pd.DataFrame({"text": [b"left right", None, b"x left", b""] * 10, "task": 0}) for _ in range(3)]
+        pieces = pd.concat(recurrent_lm._trainer(shared, known, 1)(iter(frames)))
+        assert set(pieces["tokens"]) == {3 * 10 * (3 + 1 + 3 + 1)}
+        return list(calls)
+
+    assert lookups() == [120]
+    monkeypatch.setattr(recurrent_lm, "GROUP_TOKENS", 100)  # cut inside a frame, after the text that reaches it
+    assert lookups() == [50, 50, 20]
+    monkeypatch.setattr(recurrent_lm, "GROUP_BYTES", 16)  # two words of each kind of text
+    assert lookups() == [4] * 30 + [0]  # the last text is empty
+
+
+def test_lm_groups_do_not_change_what_is_known_of_a_document(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [b" ".join(rng.choices([b"a", b"b", b"x", b"y"], k=rng.randint(0, 12))) for _ in range(60)]
+    ranked = [(b"a", 9), (b"b", 4)]
+    vocabulary = recurrent_lm.Vocabulary(ranked, 5, 15, 4)
+    shared, known = (type("Shared", (), {"value": v}) for v in (recurrent_lm.init_model(4), vocabulary))
+    batch = pa.record_batch(
+        {
+            "at": pa.array([{"file": 1, "at": i} for i in range(60)]),
+            "doc_id": pa.array(range(60)),
+            "held_out": pa.array([False] * 60),
+            "text": pa.array(texts, type=pa.binary()),
+        }
+    )
+    for tokens in (1_000_000, 50, 1):
+        monkeypatch.setattr(recurrent_lm, "GROUP_TOKENS", tokens)
+        parts = list(recurrent_lm._scorer(shared, known, "at")(iter([batch.slice(0, 25), batch.slice(25)])))
+        assert len(parts) == 1 if tokens > 1000 else len(parts) > 5
+        rows = pa.Table.from_batches(parts).to_pylist()
+        assert [r["at"]["at"] for r in rows] == [r["doc_id"] for r in rows] == list(range(60))
+        if tokens > 1000:
+            whole = rows
+        for r, text, w in zip(rows, texts, whole):
+            words = text.split()
+            n = collections.Counter(words)
+            assert r["n_tokens"] == len(words) + 1 and r["known_known"] == n[b"a"] + n[b"b"] + 1
+            assert dict(zip(r["words"], r["times"])) == {x: n[x] for x in (b"x", b"y") if n[x]}
+            base = sum(k * math.log((c + 0.1) / vocabulary.denominator) for k, c in ((n[b"a"], 9), (n[b"b"], 4), (1, 5)))
+            assert r["known_base"] == pytest.approx(base)
+            assert r["known_model"] == pytest.approx(w["known_model"], rel=1e-5)
+
+
+def test_lm_rare_words_match_brute_force(spark, monkeypatch):
+    # Most words lie beyond the broadcast ones.
+    monkeypatch.setattr(recurrent_lm, "KNOWN", 40)
+    monkeypatch.setattr(recurrent_lm, "VOCAB", 20)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(rng.expovariate(0.02))}" for _ in range(rng.randint(0, 30))) for _ in range(80)]
+    texts += [None, "", " once  once\tnever-seen "]
+    ids = [*range(len(texts) - 1), next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0)]
+    toks = [(t or "").split() for t in texts]
+    train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in ids]
+    counts = collections.Counter(w for t, kept in zip(toks, train) if kept for w in t)
+    n_docs = sum(train)
+    under = sum(counts.values()) + n_docs + 0.1 * (len(counts) + 2)
+    got = {r["doc_id"]: r for r in recurrent_lm.scores(_frame(spark, texts, ids)).collect()}
+    for i, words in zip(ids, toks):
+        base = sum(math.log10((c + 0.1) / under) for c in [*(counts[w] for w in words), n_docs])
+        assert got[i]["n_tokens"] == len(words) + 1
+        assert got[i]["n_known"] == sum(counts[w] > 0 for w in words) + 1
+        assert got[i]["base_score"] == pytest.approx(base, rel=1e-9)
+        assert math.isfinite(got[i]["score"]) and got[i]["score"] < 0
