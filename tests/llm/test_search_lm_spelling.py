@@ -272,6 +272,52 @@ def test_lm_learns_from_every_training_row(spark, monkeypatch):
     assert np.frombuffer(averaged["value"][0]) == pytest.approx(np.frombuffer(pieces["value"].iloc[0], dtype=np.float32))
 
 
+def test_lm_passes_do_not_depend_on_the_size_of_the_corpus(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, b"left right " * (i % 7)) for i in range(40)], "at bigint, text binary").repartition(2)
+    plain, passes = recurrent_lm._trainer, []
+
+    def noted(shared, known, epochs):
+        passes.append(epochs)
+        return plain(shared, known, epochs)
+
+    monkeypatch.setattr(recurrent_lm, "_trainer", noted)
+    for n_words in (20, 2_000_000_000):
+        passes.clear()
+        vocabulary = recurrent_lm.Vocabulary([(b"left", n_words // 2), (b"right", n_words // 2)], 40, n_words, 2)
+        recurrent_lm._fit(docs, "at", spark.sparkContext.broadcast(vocabulary))
+        assert passes == [recurrent_lm.EPOCHS] * len(recurrent_lm.ROUNDS)
+
+
+def test_lm_blocks_and_kept_places_do_not_change_the_model(monkeypatch):
+    rng = np.random.default_rng(2)
+    n_ids = 200
+    ids = np.minimum(rng.zipf(1.3, (16, 40)), n_ids) - 1
+    places = recurrent_lm.Places(ids, ids, 4)
+    values = rng.normal(size=(ids.size, 5))
+    want = np.zeros((n_ids, 5))
+    np.add.at(want, ids.reshape(-1), values)
+    assert len(places.alone) > 1 and len(places.turns) > 1
+    assert sorted(places.ids) == sorted(set(ids.reshape(-1)))
+    assert places.summed(values) == pytest.approx(want[places.ids])
+
+    p = recurrent_lm.init_model(n_ids, 5)
+    p["bo"][1, 7] = p["bc"][2] = 500.0  # exp needs a shift here
+    args = p, ids, np.roll(ids, -1), np.zeros(ids.shape), np.ones(ids.shape), np.zeros((40, recurrent_lm.HIDDEN)), n_ids
+    loss, whole, h = recurrent_lm.loss_and_grads(*args)
+    monkeypatch.setattr(recurrent_lm, "BLOCK_ROWS", 9)
+    parts = recurrent_lm.loss_and_grads(*args)
+    assert math.isfinite(loss) and parts[0] == pytest.approx(loss) and parts[2] == pytest.approx(h)
+    assert all(parts[1][k] == pytest.approx(whole[k], abs=1e-12) for k in p)
+
+    docs = [rng.integers(0, n_ids, n) for n in (0, 3, 500, 40)]
+    kept, once = (recurrent_lm.Trainer(recurrent_lm.init_model(n_ids), n_ids) for _ in range(2))
+    kept.fit(docs, 3)
+    monkeypatch.setattr(recurrent_lm, "GROUP_TOKENS", 1)
+    for _ in range(3):
+        once.fit(docs)
+    assert kept.tokens == once.tokens == 3 * 547 and (kept.flat == once.flat).all()
+
+
 def test_lm_words_split_in_arrow_match_python():
     import pyarrow as pa
 
